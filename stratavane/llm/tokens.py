@@ -12,6 +12,8 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: A piece starts where the pattern of the vocabulary must start a new match, so that pieces can be encoded apart.
 _BYTE_LEVEL = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _WORD_LEVEL = re.compile(f"[^{_WS}]+")
+#: White space to str.split() that isn't Unicode White_Space.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARK = "\x01"
 _OPEN: dict[str, "PieceEncoder"] = {}
 
@@ -64,7 +66,10 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.pattern.findall(text)
+        if self.byte_level or _SEPARATORS.search(text):
+            pieces = self.pattern.findall(text)
+        else:
+            pieces = text.split()
         cache = self.cache
         found = [cache.get(p) for p in pieces]
         if None in found:

@@ -152,3 +152,10 @@ def batches_of_text(col, most: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+
+
+def unused(names: list[str], base: str) -> str:
+    """A column name like ``base`` that isn't among ``names``."""
+    while base.lower() in {n.lower() for n in names}:
+        base = f"_{base}"
+    return base

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 BLOCK_WORDS = 512
 MOST_TIMES = 3
@@ -128,6 +128,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = M
 def resample(docs: DataFrame, **options) -> DataFrame:
     """The documents, each repeated as many times as the mix takes it, rounded: all columns, rows per document 0 to
     ``most_times``."""
-    counted = mix(docs, **options).select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = counted.filter("times > 0").groupBy("doc_id").agg(F.max("times").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    times, copy, key = (unused(docs.columns, c) for c in ("times", "copy", "key"))
+    counted = mix(docs, **options).filter("size > 0").select(F.col("doc_id").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    counted = counted.groupBy(key).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    met = docs.join(counted, F.col("doc_id") == F.col(key))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

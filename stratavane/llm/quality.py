@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _MULT, batches_of_text, hash_ranges, mix64
+from .common import _LOWER, _MULT, batches_of_text, hash_ranges, mix64, unused
 
 BITS = 18
 SAMPLE_ROWS = 10_000
@@ -120,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     return np.frombuffer(got[0]["weights"], np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row and its score."""
+def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row and its score in ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB whatever the input
     k = len(keep)
 
@@ -134,10 +134,10 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id
                 where, of, value = features(data, off)
                 total = np.bincount(of, weights=w[where] * value, minlength=j - i) + w[-1]
                 p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(k)), pa.array(p)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(k)), pa.array(p)], names=[*keep, into])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(scores, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{into}` double"
+    return docs.select(*keep, F.col("text").cast("string").alias(unused(list(keep), "text"))).mapInArrow(scores, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -152,4 +152,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     """The rows, all columns, that the classifier does not reject; fitted on all labelled rows' sample."""
     weights = train(docs, labels, sample_rows=sample_rows)
     names = docs.columns
-    return score(docs, weights, tuple(c for c in names if c != "text") + ("text",)).filter("score >= 0.5").select(*names)
+    into = unused(names, "score")
+    return score(docs, weights, tuple(names), into).filter(F.col(into) >= 0.5).select(*names)

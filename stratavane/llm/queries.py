@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, mixing, neardup, packing, pages, quality, repeats, tokenfile, topk
+from . import digest, mixing, mixlm, neardup, packing, pages, quality, repeats, tokenfile, topk
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_mix_sources,
         op5_exact_top_k,
         op6_quartile_digest,
+        op7_language_model,
         op8_quality,
         op9_token_file,
         op10_main_text,

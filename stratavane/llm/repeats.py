@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, hash_ranges, materialise, mix64
+from .common import batches_of_text, hash_ranges, materialise, mix64, unused
 
 WINDOW = 50
 GRAM = 20
@@ -475,6 +475,7 @@ def strip(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     schema = ", ".join(f"`{c}` {'long' if c == 'n_chars' else 'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in names)
-    own = covered_places(_texts(docs), hot).select(F.col("doc_id").alias("_id"), "places")
-    joined = docs.join(own, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select(F.col("text").cast("string").alias("text"), "places", *rest).mapInArrow(cut, schema)
+    key, found = unused(names, "key"), unused(names, "places")
+    own = covered_places(_texts(docs), hot).select(F.col("doc_id").alias(key), F.col("places").alias(found))
+    joined = docs.join(own, F.col("doc_id") == F.col(key), "left")
+    return joined.select(F.col("text").cast("string").alias("text"), found, *rest).mapInArrow(cut, schema)

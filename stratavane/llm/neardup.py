@@ -8,7 +8,7 @@ none of the 25 bands with a probability of 4e-7. Every link is confirmed on the
 Documents of equal sets form a class, and only its document of smallest doc_id goes on. Within a band's bucket no pairs are
 spelled out: members are compared with a hub first, then with the hub of every bucket they share, and only members of one
 bucket that are still in different components are compared with each other; where those are more than a few times the
-members, further hubs thin them out first. Nothing is capped.
+members, up to ``HUB_ROUNDS`` further hubs thin them out first. Nothing is capped.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; texts under
 ``SHINGLE_WORDS`` words have one shingle; rows with one doc_id are one document, linked with what any of them is linked
@@ -28,6 +28,8 @@ PERMUTATIONS = 64
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 THRESHOLD = 85  # per cent
+#: Further hubs of a bucket before what is left of it is compared pair by pair.
+HUB_ROUNDS = 3
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -162,7 +164,7 @@ def links(member: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> Da
         tell = open_.select("bucket", "n", "pairs").distinct().agg(F.sum("n"), F.sum("pairs")).first()
         if not tell[0]:
             return found
-        last = turn > 0 and tell[1] <= 16 * tell[0]
+        last = turn >= HUB_ROUNDS or turn > 0 and tell[1] <= 8 * tell[0]
         if last:
             a, b = open_.select("bucket", "node", "comp"), open_.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
             pairs = a.join(b, "bucket").filter("comp < hub_comp").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
@@ -187,7 +189,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = materialise(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     banded = banded.select(F.col("key").alias("bucket"), F.col("rep").alias("node")).distinct()
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+    # of buckets that hold the same nodes one is enough
+    hashed = F.xxhash64("node", F.lit(3))
+    kinds = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(hashed).alias("y")).filter("c > 1")
+    shared = kinds.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     member = materialise(banded.join(shared, "bucket"), "buckets")
     wanted = member.select(F.col("node").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")

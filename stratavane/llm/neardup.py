@@ -43,9 +43,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     k = SHINGLE_WORDS
     with np.errstate(over="ignore"):
         word = hash_ranges(low, starts, ends)
-        total = np.zeros(max(len(word) - k + 1, 0), np.uint64)
+        n = max(len(word) - k + 1, 0)
+        total = np.zeros(n, np.uint64)
         for i in range(k):
-            total = total * _MULT + word[i : len(word) - k + 1 + i]
+            total = total * _MULT + word[i : n + i]
         total = mix64(total)
     cut = np.searchsorted(text, np.arange(len(offsets)))
     out = []

@@ -7,7 +7,7 @@ anchor, 50 to 80. Equal windows have equal anchors, so only contexts with one an
 1. Contexts are sorted by anchor hash, context hash and doc_id. Where a context was seen in a smaller document, all its
    windows are repeats; only its first document goes on, and only if the anchor has different contexts. Each task does the
    same to its own contexts before the shuffle, so a passage that a third of all documents hold arrives once per task.
-2. The contexts that go on meet by anchor in suffix arrays of about a megabyte. The array is sorted by prefix doubling; its
+2. The contexts that go on meet by anchor in suffix arrays of about half a megabyte. The array is sorted by prefix doubling; its
    LCP array is scanned with a stack for the nodes of the common-prefix interval tree; nodes whose occurrences differ in the
    byte before them are the maximal repeats, each with all its occurrences; an occurrence is a repeat if a smaller document
    holds another. A node whose occurrences all have the same byte before them is covered by the node one byte longer.
@@ -30,7 +30,7 @@ from .common import batches_of_text, hash_ranges, materialise, mix64, unused
 
 WINDOW = 50
 GRAM = 20
-HOT = 20_000
+HOT = 4_000
 _SPAN = WINDOW - GRAM + 1
 _BLOCK = 1 << 19
 _GRAM_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -360,7 +360,7 @@ def with_bytes(docs: DataFrame, going: DataFrame) -> DataFrame:
     return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, BYTES)
 
 
-def resolve(rows: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
+def resolve(rows: DataFrame, batch_bytes: int = 1 << 19) -> DataFrame:
     """Covered places (doc_id, place) from the suffix arrays of contexts that share an anchor."""
 
     def arrays(batches):

@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
 
     sparse = rows.mapInArrow(vectors, "doc_id long, label double, at binary, value binary")
     got = sparse.repartition(1).mapInArrow(fit, "weights binary").collect()  # one task: the sample is bounded
-    return np.frombuffer(got[0]["weights"], np.float32)
+    return np.frombuffer(got[0]["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:

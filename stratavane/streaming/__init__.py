@@ -1,0 +1,4 @@
+"""Nothing here yet: the language is evaluated over tables that don't change while a program runs.
+
+A stream can feed a program batch by batch through ``foreachBatch`` and ``Engine.run``; keeping a fixpoint between batches
+is left for later."""

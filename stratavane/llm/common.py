@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a few copies of a batch.
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and get batches they can hold."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if REPO_ROOT not in have:

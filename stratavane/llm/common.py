@@ -150,7 +150,7 @@ def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return s, e, np.searchsorted(offsets, s, side="right") - 1
 
 
-def batches_of_text(col, most: int = 4 << 20):
+def batches_of_text(col, most: int = 1 << 20):
     """Slices (first row, last row, bytes, offsets) of an Arrow column with about ``most`` bytes or a single text each."""
     data, off = utf8_column(col)
     i, n = 0, len(off) - 1

@@ -90,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for i, j, data, off in batches_of_text(batch.column(1), 2 << 20):
+            for i, j, data, off in batches_of_text(batch.column(1)):
                 sets = shingle_sets(data, off)
                 n = np.array([len(s) for s in sets], np.int64)
                 with np.errstate(over="ignore"):
@@ -123,7 +123,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> D
             sets = []
             for c in (2, 3):
                 own = []
-                for _, _, data, off in batches_of_text(batch.column(c), 2 << 20):
+                for _, _, data, off in batches_of_text(batch.column(c)):
                     own += shingle_sets(data, off)
                 sets.append(own)
             good = []

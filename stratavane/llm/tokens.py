@@ -20,14 +20,16 @@ _OPEN: dict[str, "PieceEncoder"] = {}
 
 class PieceEncoder:
     """Encodes whole texts piece by piece; equal to encoding the text at once, because no match of the vocabulary's
-    pattern runs from a non-space character over white space into the next piece."""
+    pattern runs from a non-space character over white space into the next piece. A text that holds an added token
+    (such as <|endoftext|>) is encoded at once."""
 
     def __init__(self, path: str, most: int = 500_000, longest: int = 12):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.most, self.longest = most, longest  # of the cache: pieces, and characters of a piece
         self.cache: dict[str, bytes] = {}
         self.byte_level = self.tok.normalizer is None
@@ -66,6 +68,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.added.search(text):
+            return self._ids(text).tobytes()
         if self.byte_level or _SEPARATORS.search(text):
             pieces = self.pattern.findall(text)
         else:

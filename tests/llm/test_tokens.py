@@ -19,6 +19,15 @@ def test_pieces_encode_as_whole_texts(name, text):
     assert enc.encode(text) == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_reads_them(name):
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(vocabulary(name)), encoder(vocabulary(name))
+    for text in ("end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b <|startoftext|>\n<|endoftext|><|endoftext|> ", "<|ENDOFTEXT|> <|endof text|> plain"):
+        assert enc.encode(text) == np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_a_full_cache_changes_nothing():
     enc = PieceEncoder(vocabulary("byte_bpe_50k.json"), most=2)
     for text in ("some words here", "and other words there"):

@@ -17,9 +17,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest doc_id stays."""
+    """Of each group of near copies, of a similarity of 0.8 or more, the document of smallest doc_id stays."""
     prepare(spark)
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, threshold=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,5 +16,17 @@ def test_stages_over_awkward_rows(spark, tmp_path):
     assert final.filter("length > 2048 or offset + length > 2048").count() == 0 and final.count() > 20
 
 
+def test_near_copies_of_similarity_from_80_per_cent_go(spark, tmp_path):
+    rows = []
+    for k in range(20):  # 200 of 244 shingles are shared (0.82), and 20 of 32 (0.63)
+        text = [f"w{k}x{i}" for i in range(204)]
+        rows.append((10 * k, " ".join(text + [f"b{k}x{i}" for i in range(22)]), "s"))
+        rows.append((10 * k + 1, " ".join(text + [f"c{k}x{i}" for i in range(22)]), "s"))
+        rows.append((10 * k + 2, " ".join(f"d{k}x{i}" for i in range(30)), "s"))
+        rows.append((10 * k + 3, " ".join([f"d{k}x{i}" for i in range(24)] + [f"e{k}x{i}" for i in range(6)]), "s"))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert kept == {10 * k + d for k in range(20) for d in (0, 2, 3)}
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)

@@ -95,9 +95,14 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
     return ranked.unionByName(late.select("sid", "rank", (F.col("n") + F.col("rank")).alias("position")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted) and first_slot
     (the first place in the schedule that takes any of it; null if none does)."""
+    return _mix(docs, **options).drop("source")
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """What ``mix`` gives, and the source."""
     sizes = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
     plan = targets(sizes, weights, most_times).withColumn("want", F.round("target").cast("long"))
     blocks = F.ceil(F.col("source_size") / block_words)
@@ -114,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = M
 
     known = sizes.withColumn("known", F.struct("source"))
     named = plan.select(F.struct("source").alias("known"), "sid", "source_size", "target")
-    laid = ring(known.join(named, "known").drop("known", "source"), seed)
+    laid = ring(known.join(named, "known").drop("known"), seed)
     spans = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
     met = spans.join(takes, ["sid", "block"])
     overlap = F.greatest(F.least(F.col("at") + F.col("size"), F.col("stop")) - F.greatest("at", "begin"), F.lit(0)) * F.col("times")
@@ -122,14 +127,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = M
     taken = met.groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.min("position").alias("first_slot"))
     some = laid.filter("size > 0").join(taken, ["sid", "at"], "left")
     none = laid.filter("size = 0").withColumn("taken", F.lit(None).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
-    return some.unionByName(none).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return some.unionByName(none).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
     """The documents, each repeated as many times as the mix takes it, rounded: all columns, rows per document 0 to
-    ``most_times``."""
-    times, copy, key = (unused(docs.columns, c) for c in ("times", "copy", "key"))
-    counted = mix(docs, **options).filter("size > 0").select(F.col("doc_id").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
-    counted = counted.groupBy(key).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
-    met = docs.join(counted, F.col("doc_id") == F.col(key))
+    ``most_times``. A null doc_id is one like any other; rows of equal doc_id, source and size are taken as often as the
+    one that is taken most."""
+    times, copy, key, origin, size = (unused(docs.columns, c) for c in ("times", "copy", "key", "origin", "size"))
+    counted = _mix(docs, **options).filter("size > 0").select(F.col("doc_id").alias(key), F.col("source").alias(origin), F.col("size").alias(size), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    counted = counted.groupBy(key, origin, size).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    met = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(origin)) & (words(F.col("text")) == F.col(size)))
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -77,3 +77,11 @@ def test_resample(spark):
     for r in out.collect():
         counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
     assert max(counts.values()) <= 3 and sum(n for i, n in counts.items() if i < 5) >= 9
+
+
+def test_rows_without_an_id_leave_as_often_as_the_mix_takes_them(spark):
+    rows = [(i, "w " * 50, "a" if i < 5 else "b") for i in range(30)] + [(None, "n " * 40, "a"), (None, "n " * 60, None), (None, None, "a"), (None, " ", "b")]
+    taken = {r["size"]: r["taken"] for r in mixing.mix(table(spark, rows), block_words=10).collect() if r["doc_id"] is None}
+    out = [r["text"] for r in mixing.resample(table(spark, rows), block_words=10).collect() if r["doc_id"] is None]
+    assert taken[40] > 0 and taken[60] > 0
+    assert {t: out.count(t) for t in set(out)} == {"n " * n: round(taken[n] / n) for n in (40, 60)}

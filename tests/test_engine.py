@@ -151,3 +151,23 @@ def test_program_texts_of_the_queries_parse():
         program = parse(text)
         assert parse(str(program)) == program
     assert set(QUERIES) == set(ORACLES) and text_of is not None
+
+
+def test_graphs_and_pointer_relations_hold_all_rows(spark, tmp_path):
+    from stratavane.queries import inputs
+
+    orders = [(k, k % 4, f"{k % 5 + 1}-X", "FOP"[k % 3]) for k in range(1, 41)]
+    lines = [(k, k % 6, n, 1.0 * n * k, "ANR"[k % 3]) for k in range(1, 41) for n in range(1, 8)]
+    tables = {
+        "customer": spark.range(7), "part": spark.range(6),
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    pointers = ["Assign", "Deref", "Load", "Store", "AddressOf"]
+    got = {n: sorted(map(tuple, df.collect())) for n, df in inputs(spark, str(tmp_path), ["Arc", "ArcW", *pointers]).items()}
+    assert got["Arc"] == sorted({(c, k % 7) for k, c, *_ in orders})
+    assert got["ArcW"] == sorted((x, y, min(k % 17 + 1 for k, c, *_ in orders if (c, k % 7) == (x, y))) for x, y in got["Arc"])
+    for i, name in enumerate(pointers):
+        assert got[name] == sorted({(p, k % 6) for k, p, n, *_ in lines if n % 5 == (i + 1) % 5})

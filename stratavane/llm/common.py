@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import drop_path, fresh_path
+
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,34 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = getattr(spark, "_stratavane_shared", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="stratavane-")
-        spark._stratavane_shared = own
-    return own
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Deletes what ``materialise`` wrote, once nothing reads it any more."""
+    for df in stored:
+        if df is not None and getattr(df, "_stored_at", None):
+            drop_path(df.sparkSession, df._stored_at)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique hashes large arrays, which is many times slower than sorting them."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
 
 
 def ordered_blocks(df: DataFrame, key: str, rows_per_block: int, most: int = 4096) -> tuple[list[int], Column]:

@@ -5,10 +5,14 @@ so half as many evaluations give a signature of as many values, whose agreement
 with a lower variance than minima alone. Bands of ``ROWS`` values make candidates: a pair at the threshold of 0.85 shares
 none of the 25 bands with a probability of 4e-7. Every link is confirmed on the full shingle sets.
 
-Documents of equal sets form a class, and only its document of smallest doc_id goes on. Within a band's bucket no pairs are
-spelled out: members are compared with a hub first, then with the hub of every bucket they share, and only members of one
-bucket that are still in different components are compared with each other; where those are more than a few times the
-members, up to ``HUB_ROUNDS`` further hubs thin them out first. Nothing is capped.
+Documents of equal sets form a class, which goes on as one node. Within a band's bucket no pairs are spelled out: members are
+compared with a hub first, the member of most and largest buckets. What stays split goes on by differences from the hub h: the shingles that a member has beyond h, and those of h that it lacks. If similar means an intersection of at least
+s * (sum of the sizes), then the differences of similar sets u and v share s * (|u| + |v|) - |h| + lacks(u) + lacks(v) elements
+or more, which is over (1 - s) * lacks(v) + s * has(v) > 0 where u isn't similar to h. So they meet in the first few elements of
+their differences, in one order of all elements (those that h lacks first, by hash): in all but that many less one. A bucket is
+replaced by one for each hub and such element, and only those with a member that isn't similar to the hub go on. Near copies
+differ from a hub by few elements, and share fewer, so what meets again is little, and is compared, across components only; so
+are buckets of at most ``SMALL`` members at once. Nothing is capped.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; texts under
 ``SHINGLE_WORDS`` words have one shingle; rows with one doc_id are one document, linked with what any of them is linked
@@ -20,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _MULT, batches_of_text, hash_ranges, materialise, mix64, word_ranges
+from .common import _LOWER, _MULT, batches_of_text, discard, distinct, hash_ranges, materialise, mix64, word_ranges
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -28,8 +32,8 @@ PERMUTATIONS = 64
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 THRESHOLD = 85  # per cent
-#: Further hubs of a bucket before what is left of it is compared pair by pair.
-HUB_ROUNDS = 3
+#: Members of a bucket up to which those of different components are compared without a look at differences first.
+SMALL = 8
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -52,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if b - a >= k:
-            out.append(np.unique(total[a : b - k + 1]))
+            out.append(distinct(total[a : b - k + 1]))
         elif b > a:
             h = np.uint64(b - a)
             with np.errstate(over="ignore"):
@@ -83,6 +87,13 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
+def _keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two keys of a set, as signed numbers."""
+    with np.errstate(over="ignore"):
+        both = np.array([shingles.sum(dtype=np.uint64) ^ np.uint64(len(shingles)), mix64(shingles + _MULT).sum(dtype=np.uint64)], np.uint64)
+    return tuple(both.view(np.int64).tolist())
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's two keys and its band keys, for every row."""
 
@@ -93,16 +104,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i, j, data, off in batches_of_text(batch.column(1)):
                 sets = shingle_sets(data, off)
                 n = np.array([len(s) for s in sets], np.int64)
-                with np.errstate(over="ignore"):
-                    k1 = np.array([int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64) ^ n.astype(np.uint64)
-                    k2 = np.array([int(mix64(s + _MULT).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
+                k1, k2 = zip(*(_keys(s) for s in sets))
                 full = n > 0
                 bands = np.zeros((0, BANDS), np.uint64)
                 if full.any():
                     bands = band_keys(np.stack([signature(s) for s in sets if len(s)]))
                 ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))],
+                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64)))],
                     names=["doc_id", "n", "k1", "k2", "bands"],
                 )
 
@@ -113,98 +122,136 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; ``texts`` holds doc_id and text of all their documents."""
+def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and the sorted shingle hashes of each of ``nodes`` (doc_id, node), from the texts of their documents."""
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, j, data, off in batches_of_text(batch.column(1)):
+                found = shingle_sets(data, off)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*(_keys(s) for s in found))), pa.array([s.tobytes() for s in found], pa.binary())], names=["k1", "k2", "shingles"])
+
+    wanted = nodes.select("doc_id").distinct()
+    got = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "k1 long, k2 long, shingles binary")
+    return got.select(F.xxhash64("k1", "k2").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _early_differences(a: np.ndarray, b: np.ndarray, hub: int, threshold: int, deep: bool) -> tuple[bool, np.ndarray]:
+    """Whether the sets are similar, and, where ``deep``, keys of the first elements of a's difference from the hub's set b."""
+    shared = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+    common = int(shared.sum())
+    has, lacks, both = len(a) - common, len(b) - common, len(a) + len(b)
+    linked = common > 0 and 100 * common >= threshold * (both - common)
+    if not deep:
+        return linked, a[:0]
+    least = (100 * lacks + threshold * has) // (100 + threshold) + 1
+    if not linked:
+        least = max(least, -(-(threshold * both - (100 + threshold) * common) // 100))
+    first = max(has + lacks - least + 1, 0)
+    own = a[~shared][:first]
+    salt = np.array([hub], np.int64).view(np.uint64) * _MULT
+    keys = mix64(own ^ salt)
+    if first > has:
+        missing = np.ones(len(b), bool)
+        missing[np.searchsorted(b, a[shared])] = False
+        keys = np.concatenate([keys, mix64(~b[missing][: first - has] ^ salt)])
+    return linked, keys
+
+
+def compare(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """u, v, whether their full sets are similar, and, where ``deep``, keys of u's first differences from v."""
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = []
-            for c in (2, 3):
-                own = []
-                for _, _, data, off in batches_of_text(batch.column(c)):
-                    own += shingle_sets(data, off)
-                sets.append(own)
-            good = []
-            for a, b in zip(*sets):
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common > 0 and 100 * common >= threshold * (len(both) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    met = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return met.mapInArrow(check, "u long, v long")
-
-
-def _hub_pairs(member: DataFrame, hubs: DataFrame) -> DataFrame:
-    met = member.join(hubs, "bucket").filter("node <> hub and comp <> hub_comp")
-    return met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-
-
-def links(member: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Confirmed links (u, v) that connect all nodes of ``member`` (bucket, node) which share a bucket and are similar,
-    directly or through others."""
-    # first each node against one hub: the smallest node of the buckets it shares with most votes
-    hubs = member.groupBy("bucket").agg(F.min("node").alias("hub"))
-    votes = member.join(hubs, "bucket").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub"))
-    done = materialise(best.select(F.col("node").alias("u"), F.col("hub").alias("v")), "pairs")
-    found = materialise(confirm(done, texts, threshold), "links")
+            linked, keys = [], []
+            with np.errstate(over="ignore"):
+                for v, deep, a, b in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                    one, early = _early_differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), v, threshold, deep)
+                    linked.append(one)
+                    keys.append(early.view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["u", "v", "linked", "keys"])
+
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
+    met = pairs.join(left, "u").join(right, "v").select("u", "v", "deep", "set_u", "set_v")
+    return met.mapInArrow(check, "u long, v long, linked boolean, keys array<long>")
+
+
+def _one_of_equals(member: DataFrame) -> DataFrame:
+    """Of buckets that hold the same nodes one is enough; those of a single node go."""
+    kinds = member.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node", F.lit(3))).alias("y")).filter("c > 1")
+    shared = kinds.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("c").alias("size"))
+    return member.join(shared, "bucket").select("bucket", "node", "size")
+
+
+def _with_hub(member: DataFrame) -> DataFrame:
+    """Each bucket's members and its hub: the member whose buckets are most and largest."""
+    centre = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = member.join(centre, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    return member.join(hubs, "bucket")
+
+
+def links(member: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
+    """Confirmed links (u, v) that connect all nodes of ``member`` (bucket, node, size) which share a bucket and are similar,
+    directly or through others; ``sets`` has the nodes' shingles."""
+    # first each node against one hub: that of most of its buckets
+    votes = _with_hub(member).filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
+    checked = materialise(compare(best.select(F.col("node").alias("u"), F.col("hub").alias("v"), F.lit(False).alias("deep")), sets, threshold), "checked")
+    found = checked.filter("linked").select("u", "v")
     turn = 0
     while True:
         comps = connected_components(found)
-        placed = member.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        split = groups.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares")).filter("comps > 1")
-        open_ = materialise(placed.join(split.withColumn("pairs", (F.col("n") * F.col("n") - F.col("squares")) / 2), "bucket"), "open")
-        tell = open_.select("bucket", "n", "pairs").distinct().agg(F.sum("n"), F.sum("pairs")).first()
-        if not tell[0]:
+        placed = member.join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("comp"))
+        split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        open_ = materialise(placed.join(split, "bucket"), "open")
+        if open_.isEmpty():
+            discard(open_, member if turn else None)
             return found
-        last = turn >= HUB_ROUNDS or turn > 0 and tell[1] <= 8 * tell[0]
-        if last:
-            a, b = open_.select("bucket", "node", "comp"), open_.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-            pairs = a.join(b, "bucket").filter("comp < hub_comp").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-        else:
-            # another hub for every split bucket: its smallest node, then ones chosen by hash
-            key = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), "node", "comp")
-            hubs = open_.groupBy("bucket").agg(F.min(key).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-            pairs = _hub_pairs(open_, hubs)
-        fresh = materialise(pairs.distinct().join(done, ["u", "v"], "left_anti"), "pairs")
-        found = materialise(found.unionByName(confirm(fresh, texts, threshold)), "links")
-        if last:
+        near = open_ if turn else open_.filter(F.col("size") <= small)
+        other = near.select("bucket", F.col("node").alias("v"), F.col("comp").alias("comp_v"))
+        pairs = near.join(other, "bucket").filter("comp < comp_v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), F.lit(False).alias("deep"))
+        if not turn:
+            pairs = pairs.unionByName(_with_hub(open_.filter(F.col("size") > small)).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), F.lit(True).alias("deep")))
+        checked = materialise(compare(pairs.distinct(), sets, threshold), "checked")
+        found = found.unionByName(checked.filter("linked").select("u", "v"))
+        if turn:
+            discard(open_, member)
             return found
-        done = done.unionByName(fresh)
+        # the next buckets: a hub and an element of differences from it
+        spread = checked.select(F.col("u").alias("node"), "linked", F.explode("keys").alias("bucket"))
+        going = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("some")).filter("c > 1 and some").select("bucket")
+        member = materialise(_one_of_equals(spread.join(going, "bucket").select("bucket", "node")), "buckets")
+        discard(open_)
         turn += 1
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, for every row."""
     docs = _texts(docs)
-    sketch = materialise(sketches(docs), "sketches")
+    sketch = materialise(sketches(docs).withColumn("node", F.xxhash64("k1", "k2")).drop("k1", "k2"), "sketches")
     whole = sketch.filter("n > 0 and doc_id is not null")
-    classes = materialise(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    banded = banded.select(F.col("key").alias("bucket"), F.col("rep").alias("node")).distinct()
-    # of buckets that hold the same nodes one is enough
-    hashed = F.xxhash64("node", F.lit(3))
-    kinds = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(hashed).alias("y")).filter("c > 1")
-    shared = kinds.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    member = materialise(banded.join(shared, "bucket"), "buckets")
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    found = links(member, texts, threshold)
+    classes = materialise(whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    member = materialise(_one_of_equals(banded), "buckets")
+    wanted = classes.join(member.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
+    sets = materialise(shingle_table(docs, wanted), "shingles")
+    found = links(member, sets, threshold)
+    discard(member, sets)
     # rows of one doc_id in several classes tie these together
-    owned = whole.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    own = owned.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).filter("v < top")
-    ties = own.select(F.explode("reps").alias("u"), "v").filter("u <> v")
-    comps = connected_components(found.unionByName(ties))
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = sketch.join(named, ["k1", "k2"], "left")
+    several = whole.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top")).filter("v < top").select("doc_id", "v")
+    ties = materialise(whole.select("doc_id", F.col("node").alias("u")).join(several, "doc_id").filter("u <> v").select("u", "v").distinct(), "ties")
+    met = classes.select("node", "rep").join(connected_components(found.unionByName(ties)), "node")
+    least = met.groupBy("component").agg(F.min("rep").alias("least"))
+    reached = met.join(least, "component").select("node", "least")
+    named = classes.select("node", "rep").join(reached, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
+    out = sketch.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -155,6 +155,19 @@ def batches_of_text(col, most: int = 1 << 20):
         i = j
 
 
+def gathered(batches, rows: int = 1 << 17):
+    """NumPy columns of several Arrow batches of numbers at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def unused(names: list[str], base: str) -> str:
     """A column name like ``base`` that isn't among ``names``."""
     while base.lower() in {n.lower() for n in names}:

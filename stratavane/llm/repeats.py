@@ -7,8 +7,8 @@ anchor, 50 to 80. Equal windows have equal anchors, so only contexts with one an
 1. Contexts are sorted by anchor hash, context hash and doc_id. Where a context was seen in a smaller document, all its
    windows are repeats; only its first document goes on, and only if the anchor has different contexts. Each task does the
    same to its own contexts before the shuffle, so a passage that a third of all documents hold arrives once per task.
-2. The contexts that go on meet by anchor in suffix arrays of about half a megabyte. The array is sorted by prefix doubling; its
-   LCP array is scanned with a stack for the nodes of the common-prefix interval tree; nodes whose occurrences differ in the
+2. The contexts that go on meet by anchor in suffix arrays of about half a megabyte. Only suffixes
+   whose first 50 bytes another document's suffix has are sorted; the LCP array is scanned with a stack for the nodes of the common-prefix interval tree; nodes whose occurrences differ in the
    byte before them are the maximal repeats, each with all its occurrences; an occurrence is a repeat if a smaller document
    holds another. A node whose occurrences all have the same byte before them is covered by the node one byte longer.
    An anchor with more than ``HOT`` different contexts is dealt again window by window, and each task merges equal
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, hash_ranges, materialise, mix64, unused
+from .common import batches_of_text, gathered, hash_ranges, materialise, mix64, unused, utf8_column
 
 WINDOW = 50
 GRAM = 20
@@ -34,8 +34,8 @@ HOT = 4_000
 _SPAN = WINDOW - GRAM + 1
 _BLOCK = 1 << 19
 _GRAM_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-# a place: 16 bits of the text's hash | 42 bits start | 6 bits number of windows
-_TAG, _START, _COUNT = 48, 6, 63
+# a place: 27 bits of the text's hash | 31 bits start (a string has under 2^31 bytes) | 6 bits number of windows
+_TAG, _START, _COUNT = 37, 6, 63
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return (hash_ranges(data, offsets[:-1], offsets[1:]) >> np.uint64(48)).astype(np.int64)
+    return (hash_ranges(data, offsets[:-1], offsets[1:]) >> np.uint64(_TAG)).astype(np.int64)
 
 
 def places(tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -93,58 +93,61 @@ def split_places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (u >> np.uint64(_TAG)).astype(np.int64), ((u & np.uint64((1 << _TAG) - 1)) >> np.uint64(_START)).astype(np.int64), (u & np.uint64(_COUNT)).astype(np.int64)
 
 
-def enhanced_suffix_array(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of at least ``least`` bytes in sorted order: text number, start, the byte before (unique where there is
-    none), and the LCP with the suffix before (0 if under ``least``), and the suffix' length."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    sym = joined.astype(np.int64) + 1
-    n = len(sym)
-    ends = np.cumsum(sizes + 1) - 1
-    sym[ends] = 0
-    text = np.repeat(np.arange(len(texts)), sizes + 1)
-    begin = ends - sizes
-
-    def pad(a: np.ndarray, k: int) -> np.ndarray:
-        return np.concatenate([a[k:], np.zeros(min(k, len(a)), a.dtype)])
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        return np.unique(key, return_inverse=True)[1].astype(np.int64)
-
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = key << 9 | pad(sym, i)
-    ranks = [(7, ranked(key))]
-    while ranks[-1][0] * 2 <= least:
-        size, r = ranks[-1]
-        ranks.append((2 * size, ranked(r * (r.max() + 1) + pad(r, size))))
-    rest = ends[text] - np.arange(n)
-    at = np.flatnonzero(rest >= least)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z
-    # the rest of the order for long suffixes only
-    size, r = ranks[-1]
-    order = r[at]
-    top = r.max() + 1
-    for k in range(size, int(sizes.max()) + 1, size):
-        order = ranked(order * top + r[np.minimum(at + k, n - 1)] * (at + k < n))
-    sa = at[np.argsort(order, kind="stable")]
-    lcp = np.zeros(len(sa), np.int64)
-    a, b = sa[:-1], sa[1:]
-    bound = np.minimum(rest[a], rest[b])
-    depth = np.zeros(len(a), np.int64)
-    steps = [ranks[-1]] * (int(bound.max(initial=0)) // ranks[-1][0] + 1) + ranks[-2::-1] + [(1, sym)] * 6
-    for size, r in steps:  # how far neighbours agree: by the longest ranks first, then shorter ones, then single bytes
-        live = np.flatnonzero(depth < bound)
-        i, j = a[live] + depth[live], b[live] + depth[live]
-        inside = np.maximum(i, j) < n
-        same = live[inside][r[i[inside]] == r[j[inside]]]
-        depth[same] += size
-    lcp[1:] = np.minimum(depth, bound)
-    lcp[lcp < least] = 0
-    left = np.where(sa > begin[text[sa]], sym[np.maximum(sa - 1, 0)], -1 - np.arange(len(sa)))
-    return text[sa], sa - begin[text[sa]], left, lcp, rest[sa]
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def enhanced_suffix_array(data: np.ndarray, offsets: np.ndarray, least: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of the texts at ``offsets`` in ``data`` that begin with ``least`` bytes which another one begins with (of
+    another ``owner``, if given), others share no prefix so long: text number, start, the byte before (unique where there is
+    none), and the LCP with the suffix before (0 if under ``least``). Sorted by hash of the first ``least`` bytes, then by
+    the bytes that follow, 32 at a time until no two that agree so far go on."""
+    first, last = offsets[:-1], np.maximum(offsets[1:] - least + 1, offsets[:-1])
+    sizes = last - first
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(sizes.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    h = hash_ranges(data, at, at + least)
+    order = np.argsort(h)
+    h, at, text = h[order], at[order], text[order]
+    new = _runs(h)
+    run = np.cumsum(new) - 1
+    keep = np.bincount(run)[run] > 1 if len(run) else new
+    if owner is not None and keep.any():
+        own, begin = owner[text], np.flatnonzero(new)
+        keep &= (np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin))[run]
+    at, text, group = at[keep], text[keep], run[keep]
+    rest = offsets[1:][text] - at
+    lcp = np.zeros(len(at), np.int64)
+    padded = np.concatenate([data, np.zeros(40, np.uint8)])
+    depth, same = least, ~_runs(group)
+    while same.any():
+        words = []
+        for k in range(depth, depth + 32, 8):
+            i = np.minimum(at + k, len(data))
+            word = padded[i[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
+            short = np.clip(rest - k, 0, 8).astype(np.uint64)  # bytes that the suffix still has
+            words.append(np.where(short == 0, np.uint64(0), word >> ((np.uint64(8) - short) % np.uint64(8) * np.uint64(8)) << ((np.uint64(8) - short) % np.uint64(8) * np.uint64(8))))
+        order = np.lexsort((rest, *words[::-1], group))
+        at, text, rest = at[order], text[order], rest[order]
+        words = [w[order] for w in words]
+        agree, live = np.full(len(at), depth), same.copy()
+        for w in words:  # how far neighbours agree
+            apart = np.zeros(len(at), np.uint64)
+            apart[1:] = w[1:] ^ w[:-1]
+            ahead = np.where(apart == 0, 8, 7 - np.floor(np.log2(np.maximum(apart, np.uint64(1)).astype(np.float64))).astype(np.int64) // 8)
+            agree += np.where(live, ahead, 0)
+            live &= apart == 0
+        bound = np.minimum(rest, np.concatenate([[0], rest[:-1]])) if len(rest) else rest
+        lcp = np.where(same, np.minimum(agree, bound), lcp)
+        depth += 32
+        same = same & live & (bound > depth)
+        group = np.cumsum(~same)
+    left = np.where(at > offsets[:-1][text], data[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
+    return text, at - offsets[:-1][text], left, lcp
 
 
 def interval_nodes(lcp: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -173,15 +176,19 @@ def interval_nodes(lcp: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int
                 stack.append((depth, lb))
 
 
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def maximal_repeats(texts: list[bytes], least: int = WINDOW) -> list[tuple[int, list[tuple[int, int]]]]:
     """All maximal repeat groups of at least ``least`` bytes: length and every occurrence (text number, start)."""
-    text, start, left, lcp, _ = enhanced_suffix_array(texts, least)
+    text, start, left, lcp = enhanced_suffix_array(*_joined(texts), least)
     return [(size, sorted(zip(text[lb : rb + 1].tolist(), start[lb : rb + 1].tolist()))) for size, lb, rb in interval_nodes(lcp, left)]
 
 
-def covered_by_smaller(texts: list[bytes], docs: np.ndarray, least: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered_by_smaller(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, least: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text numbers, starts and lengths of the maximal repeats' occurrences that a smaller document holds too."""
-    text, start, left, lcp, _ = enhanced_suffix_array(texts, least)
+    text, start, left, lcp = enhanced_suffix_array(data, offsets, least, docs)
     doc = docs[text]
     found: list[tuple] = []
     for size, lb, rb in interval_nodes(lcp, left):
@@ -244,6 +251,12 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(chain, ROWS)
 
 
+def _dealt():
+    """Rows meet by anchor hash; those that are decided only pass through, so a passage that many documents hold meets no
+    task with them."""
+    return F.when(F.col("covered"), F.xxhash64("doc_id", "place")).otherwise(F.col("h"))
+
+
 SEEN = "h long, doc_id long, place long, covered boolean"
 
 
@@ -259,9 +272,7 @@ def seen_before(rows: DataFrame) -> DataFrame:
         last = None  # h, c and first document of the context that the last batch ended in
         held = [np.zeros(0, np.int64)] * 3  # contexts of an anchor that has had only one kind so far
         several = False  # whether that anchor has had more
-        for batch in batches:
-            h, c, doc, place = (np.asarray(batch.column(i)) for i in range(4))
-            done = np.asarray(batch.column(4).to_numpy(zero_copy_only=False))
+        for h, c, doc, place, done in gathered(batches):
             if done.any():
                 yield out(h[done], doc[done], place[done], done[done])
                 h, c, doc, place = (x[~done] for x in (h, c, doc, place))
@@ -303,7 +314,7 @@ def seen_before(rows: DataFrame) -> DataFrame:
             last = (h[-1], c[-1], least[-1])
 
     order = ["h", "c", "doc_id", "place"]
-    return rows.repartition("h").sortWithinPartitions(*order).mapInArrow(scan, SEEN)
+    return rows.repartition(_dealt()).sortWithinPartitions(*order).mapInArrow(scan, SEEN)
 
 
 BYTES = "h long, doc_id long, place long, covered boolean, bytes binary"
@@ -316,46 +327,50 @@ def with_bytes(docs: DataFrame, going: DataFrame) -> DataFrame:
     def fetch(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        def out(h, doc, place, covered, lens, flat):
+            raw = pa.Array.from_buffers(pa.binary(), len(lens), [pa.py_buffer(np.packbits(~covered, bitorder="little")) if covered.any() else None, pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.py_buffer(flat)])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place), pa.array(covered), raw], names=["h", "doc_id", "place", "covered", "bytes"])
+
+        def pieces(data, start, lens):
+            ends = np.cumsum(lens)
+            return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + lens, lens)]
 
-        def merged():
-            h, doc, place, raw = (list(x) for x in zip(*held))
-            h, doc, place = np.array(h, np.int64), np.array(doc, np.int64), np.array(place, np.int64)
-            least: dict[int, int] = {}
-            for k, d in zip(h.tolist(), doc.tolist()):
-                if d < least.get(k, d + 1):
-                    least[k] = d
-            covered = np.array([d > least[k] for k, d in zip(h.tolist(), doc.tolist())], bool)
-            raw = [None if c else r for c, r in zip(covered.tolist(), raw)]
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place), pa.array(covered), pa.array(raw, pa.binary())], names=["h", "doc_id", "place", "covered", "bytes"])
+        def merged(held):
+            h, doc, place, raw = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, h))
+            h, doc, place, raw = h[order], doc[order], place[order], raw[order]
+            new = _runs(h)
+            covered = doc > doc[new][np.cumsum(new) - 1]
+            return out(h, doc, place, covered, np.where(covered, 0, WINDOW), raw[~covered].reshape(-1))
 
+        held: list[tuple] = []
+        n_held = 0
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for k, (i, j, data, off) in enumerate(batches_of_text(batch.column(1))):
+            ids = np.asarray(batch.column(0))
+            for i, j, data, off in batches_of_text(batch.column(1)):
                 tags = text_tags(data, off)
-                for r in range(i, j):
-                    ask = batch.column(2).slice(r, 1).flatten()
-                    h, place, hot = np.asarray(ask.field(0)), np.asarray(ask.field(1)), ask.field(2).to_numpy(zero_copy_only=False)
-                    tag, start, count = split_places(place)
-                    mine = tag == tags[r - i]
-                    raw = data[off[r - i] : off[r - i + 1]].tobytes()
-                    doc = batch.column(0)[r].as_py()
-                    easy = mine & ~hot
-                    cols[0] += h[easy].tolist()
-                    cols[1] += [doc] * int(easy.sum())
-                    cols[2] += place[easy].tolist()
-                    cols[3] += [raw[s : s + n + WINDOW - 1] for s, n in zip(start[easy].tolist(), count[easy].tolist())]
-                    for s, n, t in zip(start[mine & hot].tolist(), count[mine & hot].tolist(), tag[mine & hot].tolist()):
-                        own = np.arange(s, s + n)
-                        keys = hash_ranges(data, off[r - i] + own, off[r - i] + own + WINDOW).view(np.int64)
-                        at = places(np.full(n, t), own, np.ones(n, np.int64))
-                        held += [(k, doc, p, raw[w : w + WINDOW]) for k, p, w in zip(keys.tolist(), at.tolist(), own.tolist())]
-                    if len(held) >= 200_000:
-                        yield merged()
-                        held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(np.zeros(len(cols[0]), bool)), pa.array(cols[3], pa.binary())], names=["h", "doc_id", "place", "covered", "bytes"])
+                ask = batch.column(2).slice(i, j - i)
+                row = np.repeat(np.arange(j - i), np.diff(np.asarray(ask.offsets)))
+                ask = ask.flatten()
+                h, place, hot = np.asarray(ask.field(0)), np.asarray(ask.field(1)), np.asarray(ask.field(2).to_numpy(zero_copy_only=False))
+                tag, start, count = split_places(place)
+                mine = tag == tags[row]
+                begin, doc = off[row] + start, ids[i:j][row]
+                e = mine & ~hot
+                lens = count[e] + WINDOW - 1
+                yield out(h[e], doc[e], place[e], np.zeros(len(lens), bool), lens, pieces(data, begin[e], lens))
+                e = np.flatnonzero(mine & hot)
+                if len(e):
+                    n = count[e]
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    at = np.repeat(begin[e], n) + step
+                    held.append((hash_ranges(data, at, at + WINDOW).view(np.int64), np.repeat(doc[e], n), places(np.repeat(tag[e], n), np.repeat(start[e], n) + step, np.ones(len(step), np.int64)), data[at[:, None] + np.arange(WINDOW)]))
+                    n_held += len(step)
+                if n_held >= 200_000:
+                    yield merged(held)
+                    held, n_held = [], 0
         if held:
-            yield merged()
+            yield merged(held)
 
     return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, BYTES)
 
@@ -369,10 +384,9 @@ def resolve(rows: DataFrame, batch_bytes: int = 1 << 19) -> DataFrame:
         def out(doc, place):
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["doc_id", "place"])
 
-        def solve(held):
-            doc, place = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
+        def solve(h, doc, place, lens, raw):
             tag, start, _ = split_places(place)
-            text, at, size = covered_by_smaller([x[3] for x in held], doc)
+            text, at, size = covered_by_smaller(raw, np.concatenate([[0], np.cumsum(lens)]), doc)
             return out(doc[text], places(tag[text], start[text] + at, size - WINDOW + 1))
 
         held: list[tuple] = []
@@ -382,16 +396,23 @@ def resolve(rows: DataFrame, batch_bytes: int = 1 << 19) -> DataFrame:
             if done.any():
                 keep = pa.array(done)
                 yield out(batch.column(1).filter(keep), batch.column(2).filter(keep))
-            for row in zip(*(batch.column(c).filter(pa.array(~done)).to_pylist() for c in (0, 1, 2, 4))):
-                if total >= batch_bytes and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, total = [], 0
-                held.append(row)
-                total += len(row[3])
+                batch = batch.filter(pa.array(~done))
+            raw, ends = utf8_column(batch.column(4))
+            held.append((*(np.asarray(batch.column(i)) for i in range(3)), np.diff(ends), raw))
+            total += len(raw)
+            if total >= batch_bytes:
+                held = [tuple(np.concatenate(x) for x in zip(*held))]
+                h, lens = held[0][0], held[0][3]
+                cut = int(np.searchsorted(h, h[-1]))  # the last anchor may have more
+                if cut:
+                    split = int(lens[:cut].sum())
+                    yield solve(*(x[:cut] for x in held[0][:4]), held[0][4][:split])
+                    held = [(*(x[cut:] for x in held[0][:4]), held[0][4][split:])]
+                    total = len(held[0][4])
         if held:
-            yield solve(held)
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(arrays, "doc_id long, place long")
+    return rows.repartition(_dealt()).sortWithinPartitions("h").mapInArrow(arrays, "doc_id long, place long")
 
 
 def covered_places(docs: DataFrame, hot: int = HOT) -> DataFrame:

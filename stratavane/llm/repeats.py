@@ -227,7 +227,9 @@ def _combine(h, c, doc, place):
     """One task's contexts: those that a smaller document of the same task holds are covered already."""
     h, c, doc, place, new = _sorted_by_context(h, c, doc, place)
     least = doc[new][np.cumsum(new) - 1] if len(doc) else doc
-    return _rows(h, c, doc, place, doc > least)
+    rows = _rows(h, c, doc, place, doc > least)
+    for i in range(0, rows.num_rows, 1 << 16):
+        yield rows.slice(i, 1 << 16)
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -242,11 +244,11 @@ def anchored(docs: DataFrame) -> DataFrame:
                 text = np.searchsorted(off, start, side="right") - 1
                 held.append((h, c, ids[text], places(text_tags(data, off)[text], start - off[text], count)))
                 n += len(h)
-                if n >= 1_000_000:
-                    yield _combine(*(np.concatenate(x) for x in zip(*held)))
+                if n >= 500_000:
+                    yield from _combine(*(np.concatenate(x) for x in zip(*held)))
                     held, n = [], 0
         if n:
-            yield _combine(*(np.concatenate(x) for x in zip(*held)))
+            yield from _combine(*(np.concatenate(x) for x in zip(*held)))
 
     return docs.filter("doc_id is not null").mapInArrow(chain, ROWS)
 

@@ -55,16 +55,16 @@ def _running(df: DataFrame, keys: list[str], value: str, order: list, into: str)
 
 def ring(sizes: DataFrame, seed: int) -> DataFrame:
     """The place ``at`` of each document in its source's shuffled ring of words. Sums go up over two levels of hash
-    prefixes, so that a source of any size is spread over many tasks."""
-    keyed = sizes.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    prefixes, so that a source of any size is spread over many tasks. Rows of one doc_id are told apart by their texts."""
+    keyed = sizes.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     keyed = keyed.withColumn("g1", F.shiftright("h", 56)).withColumn("g2", F.shiftright("h", 48))
     fine = keyed.groupBy("sid", "g1", "g2").agg(F.sum("size").alias("s"))
     coarse = _running(fine.groupBy("sid", "g1").agg(F.sum("s").alias("s")), ["sid"], "s", ["g1"], "b1").drop("s")
     fine = _running(fine, ["sid", "g1"], "s", ["g2"], "b2").drop("s").join(coarse, ["sid", "g1"])
     fine = fine.select("sid", "g2", (F.col("b1") + F.col("b2")).alias("base"))
     keyed = keyed.drop("g1").join(fine, ["sid", "g2"])
-    inner = _running(keyed, ["sid", "g2"], "size", ["h", "doc_id", "size"], "inner")
-    return inner.withColumn("at", F.col("base") + F.col("inner")).drop("g2", "h", "base", "inner")
+    inner = _running(keyed, ["sid", "g2"], "size", ["h", "doc_id", "size", "text_hash", "key"], "inner")
+    return inner.withColumn("at", F.col("base") + F.col("inner")).drop("g2", "h", "base", "inner", "text_hash")
 
 
 def schedule(plan: DataFrame, block_words: int) -> DataFrame:
@@ -98,12 +98,12 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted) and first_slot
     (the first place in the schedule that takes any of it; null if none does)."""
-    return _mix(docs, **options).drop("source")
+    return _mix(docs, F.lit(0).cast("long"), **options).drop("key")
 
 
-def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
-    """What ``mix`` gives, and the source."""
-    sizes = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+def _mix(docs: DataFrame, key: Column, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """What ``mix`` gives, and the rows' ``key``."""
+    sizes = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), key.alias("key")), "mix-sizes")
     plan = targets(sizes, weights, most_times).withColumn("want", F.round("target").cast("long"))
     blocks = F.ceil(F.col("source_size") / block_words)
     slots = F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.col("source_size")) * blocks + F.ceil(F.pmod("want", "source_size") / block_words)).otherwise(0)
@@ -127,15 +127,16 @@ def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int =
     taken = met.groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.min("position").alias("first_slot"))
     some = laid.filter("size > 0").join(taken, ["sid", "at"], "left")
     none = laid.filter("size = 0").withColumn("taken", F.lit(None).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
-    return some.unionByName(none).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return some.unionByName(none).select("doc_id", "key", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
     """The documents, each repeated as many times as the mix takes it, rounded: all columns, rows per document 0 to
-    ``most_times``. A null doc_id is one like any other; rows of equal doc_id, source and size are taken as often as the
-    one that is taken most."""
-    times, copy, key, origin, size = (unused(docs.columns, c) for c in ("times", "copy", "key", "origin", "size"))
-    counted = _mix(docs, **options).filter("size > 0").select(F.col("doc_id").alias(key), F.col("source").alias(origin), F.col("size").alias(size), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
-    counted = counted.groupBy(key, origin, size).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
-    met = docs.join(counted, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(origin)) & (words(F.col("text")) == F.col(size)))
-    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    ``most_times``. Each row counts by itself, also one whose doc_id is null or another row's; rows without words are taken 0
+    times and go. Rows are numbered in a copy in the shared folder, so that both reads of them see the same numbers."""
+    names = docs.columns
+    times, copy, number, key = (unused(names, c) for c in ("times", "copy", "number", "row_key"))
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    counted = _mix(numbered, F.col(number), **options).filter("size > 0").select(F.col("key").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    met = numbered.join(counted.filter(F.col(times) > 0), F.col(number) == F.col(key))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

@@ -85,3 +85,10 @@ def test_rows_without_an_id_leave_as_often_as_the_mix_takes_them(spark):
     out = [r["text"] for r in mixing.resample(table(spark, rows), block_words=10).collect() if r["doc_id"] is None]
     assert taken[40] > 0 and taken[60] > 0
     assert {t: out.count(t) for t in set(out)} == {"n " * n: round(taken[n] / n) for n in (40, 60)}
+
+
+def test_rows_of_one_id_each_leave_as_often_as_the_mix_takes_them(spark):
+    rows = [(i, "w " * 50, "a" if i < 5 else "b") for i in range(30)] + [(7, "x " * 50, "a"), (7, "x " * 49, "a"), (7, "y " * 50, "a"), (8, "same " * 50, "a"), (8, "same " * 50, "a")]
+    mixed = [r for r in mixing.mix(table(spark, rows), block_words=10).collect() if r["doc_id"] in (7, 8)]
+    out = [r["text"] for r in mixing.resample(table(spark, rows), block_words=10).collect() if r["doc_id"] in (7, 8)]
+    assert len(out) == sum(round(r["taken"] / r["size"]) for r in mixed) and set(out) > {"x " * 50, "x " * 49, "y " * 50, "same " * 50}

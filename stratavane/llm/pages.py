@@ -1,15 +1,25 @@
 """Main text of web pages by site style trees.
 
-The DOMs of one host are merged: a node of the merged tree is a path of tags and classes, and has as features the texts that
-pages hold there. A feature held by k of the m different pages of a host has the entropy log k / log m, between 0 (one page)
-and 1 (all), and its importance is 1 less that. A branch whose texts are of low importance is removed from every page, and so
-is a presentation node whose kind says that it isn't content (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments). Copies of a page count once, so that an article that is posted several times stays. Where the rest has an
-article or main element with text, only that is kept.
-
-Defined results: null html is empty and gives empty text; a null url has no host, and its page only loses nodes by kind; equal
-rows give equal rows; broken markup is read as browsers do (open elements end with their parent); an empty table gives no
-rows; other columns are left out."""
+The DOMs of one host are merged: a node of the merged tree is a path of tags and classes. A presentation node has the layouts
+that pages give it (the sequence of its children, text among them); a content node has the texts that pages hold there. Of m
+different pages of a host with the node, a layout or text that k of them share has entropy: of a node's layouts
+-sum(k/m * log(k/m)) / log(m + 2), of a text log(k) / log(m + 2). A node's layout importance is that entropy (1 where there is
+one page); the importance of the texts at a node is 1 less their mean entropy. Where few pages tell, these lean on what nodes
+of the same tag and class have on all hosts, which weighs as ``LEAN`` pages. The importance of a branch on a page is
+(1 - g) * its layout importance + g * the mean of its children's, with g = ``DECAY`` to the power of its number of layouts.
+
+A branch without a node of an importance of ``LEAST`` is removed from the page, and so is a text with an entropy of ``ENTROPY``
+or more. A node whose kind says that it isn't content (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments) has its
+importance times ``PRIOR``, which takes its branch out whatever the tree says: entropy can't see texts that differ on every
+page, as
+adverts' do. A class counts only if all of its words say so. Where the rest has an article or main element with text, only
+that is kept. Copies of a page count once, so an article that is posted several times stays.
+
+Pages are parsed once, into a table in the shared folder; what is known of a page's nodes and texts comes to it by joins, never
+a host's whole tree. Defined results: null html is empty and gives empty text; a null url has no host, and its page loses
+nodes by kind only; equal rows give equal rows; html of any length is read whole; broken markup is read as browsers do (open
+elements end with their parent); an empty table gives no rows; other columns are left out."""
 
 from __future__ import annotations
 
@@ -21,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Hosts with fewer different pages have no statistics of their own.
-LEAST_PAGES = 8
 #: Entropy from which a text counts as part of the site, not of the page.
 ENTROPY = 0.9
-#: Rows of low-importance nodes up to which they are broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 200_000
+#: Importance under which a branch goes.
+LEAST = 0.3
+PRIOR = 0.25
+DECAY = 0.9
+LEAN = 4.0
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,12 +46,13 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table")}
 _SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _SIBLINGS.items()}
-#: Kinds and names of nodes that aren't content (fixed values).
+#: Kinds and names of nodes that aren't content, and words that say nothing of it (fixed values).
 _NOT_CONTENT = frozenset("head nav header footer aside form button dialog menu input".split())
 _NOT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies skip".split()
 )
 _NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+_NEUTRAL = frozenset("area bar block body bottom box container content global group inner item items left line link links list main outer page panel right section site slot text top unit wrap wrapper".split())
 _KEEP_KINDS = frozenset("html body main".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -51,108 +63,123 @@ _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "content")
+    __slots__ = ("tag", "path", "dropped", "content", "number")
 
-    def __init__(self, tag, path, dropped, content):
-        self.tag, self.path, self.dropped, self.content = tag, path, dropped, content
+    def __init__(self, tag, path, dropped, content, number):
+        self.tag, self.path, self.dropped, self.content, self.number = tag, path, dropped, content, number
 
 
-def _names(attrs: str) -> tuple[str, set[str], str]:
-    label, names, role = [], set(), ""
+def _kind(attrs: str) -> tuple[str, list[list[str]], str]:
+    """Label of a node, the words of each of its classes and its id, and its role."""
+    label, classes, role = [], [], ""
     for kind, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         if kind.lower() == "role":
             role = value.strip().lower()
         else:
             label.append(("." if kind.lower() == "class" else "#") + re.sub(r"\d+", "0", value.strip()))
-            names.update(x.lower() for x in _NAME.findall(_CAMEL.sub(" ", value)))
-    return "".join(label), names, role
-
-
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """Blocks of text in page order: path, text, whether a node above isn't content by its kind, and whether one is an
-    article or main element."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack = [_Node("", "", False, False)]
-    text: list[str] = []
-
-    def flush() -> None:
-        joined = " ".join(_html.unescape("".join(text)).split())
-        text.clear()
-        if joined:
-            top = stack[-1]
-            for node in reversed(stack):
-                if node.tag not in _INLINE:
-                    top = node
-                    break
-            out.append((top.path, joined, stack[-1].dropped, stack[-1].content))
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if close:
-            if tag == "br":
+            classes += [[x.lower() for x in _NAME.findall(_CAMEL.sub(" ", token))] for token in value.split()]
+    return "".join(label), classes, role
+
+
+def _says_not_content(words: list[str]) -> bool:
+    return any(w in _NOT_NAMES for w in words) and all(w in _NOT_NAMES or w in _NEUTRAL or len(w) == 1 for w in words)
+
+
+class Page:
+    """Nodes of a page, each with its parent, path, label and whether its kind says that it isn't content; and its texts in
+    page order, each with its node, whether one above it isn't content, and whether one is an article or main element."""
+
+    def __init__(self, page: str):
+        self.parent, self.path, self.label, self.named = [-1], [""], [""], [False]
+        self.layout: list[list[str]] = [[]]
+        self.texts: list[tuple[int, str, bool, bool]] = []
+        stack = [_Node("", "", False, False, 0)]
+        text: list[str] = []
+
+        def flush() -> None:
+            joined = " ".join(_html.unescape("".join(text)).split())
+            text.clear()
+            if joined:
+                top = next(n for n in reversed(stack) if n.tag not in _INLINE)
+                self.layout[top.number].append("#")
+                self.texts.append((top.number, joined, stack[-1].dropped, stack[-1].content))
+
+        at, end = 0, len(page)
+        while at < end:
+            m = _TOKEN.search(page, at)
+            if m is None:
+                text.append(page[at:])
+                break
+            if m.start() > at:
+                text.append(page[at : m.start()])
+            at = m.end()
+            close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if close:
+                if tag == "br":
+                    flush()
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        if tag not in _INLINE or any(n.tag not in _INLINE for n in stack[k:]):
+                            flush()
+                        del stack[k:]
+                        break
+                continue
+            if tag not in _INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in _INLINE or any(n.tag not in _INLINE for n in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            continue
-        if tag not in _INLINE:
-            flush()
-        if tag in _RAW:
-            stop = None if attrs.rstrip().endswith("/") and tag in ("svg", "math") else _END_RAW[tag].search(page, at)
-            if stop is not None:
-                at = stop.end()
-            elif not attrs.rstrip().endswith("/"):
-                at = end
-            continue
-        if tag in _VOID:
-            continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in _INLINE:
-                    break
-        if tag in _SIBLINGS:
-            ends, stops = _SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody"):
+            if tag in _RAW:
+                stop = None if attrs.rstrip().endswith("/") and tag in ("svg", "math") else _END_RAW[tag].search(page, at)
+                if stop is not None:
+                    at = stop.end()
+                elif not attrs.rstrip().endswith("/"):
+                    at = end
+                continue
+            if tag in _VOID:
+                continue
+            if tag in _ENDS_P:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        del stack[k:]
+                        break
+                    if stack[k].tag not in _INLINE:
+                        break
+            if tag in _SIBLINGS:
+                ends, stops = _SIBLINGS[tag]
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in stops:
                         break
+                    if stack[k].tag in ends:
+                        del stack[k:]
+                        if tag not in ("tr", "tbody"):
+                            break
+            self._open(stack, tag, attrs)
+        flush()
+
+    def _open(self, stack: list[_Node], tag: str, attrs: str) -> None:
         up = stack[-1]
-        label, names, role = _names(attrs) if attrs else ("", (), "")
+        label, classes, role = _kind(attrs) if attrs else ("", [], "")
         content = up.content or tag in ("article", "main") or role in ("main", "article")
-        by_name = tag not in _KEEP_KINDS and (any(x in _NOT_NAMES for x in names) if tag != "article" else any(x.startswith("comment") for x in names))
-        dropped = up.dropped or tag in _NOT_CONTENT or by_name or role in _NOT_ROLES
+        by_name = tag not in _KEEP_KINDS and any(_says_not_content(c) for c in classes if tag != "article" or any(w.startswith("comment") for w in c))
+        named = tag in _NOT_CONTENT or by_name or role in _NOT_ROLES
         if up.content and not up.dropped and tag == "header":
-            dropped = False  # an article's own heading
-        stack.append(_Node(tag, f"{up.path}/{tag}{label}", dropped, content))
-    flush()
-    return out
+            named = False  # an article's own heading
+        node = _Node(tag, f"{up.path}/{tag}{label}", up.dropped or named, content, up.number)
+        if tag not in _INLINE:
+            self.layout[up.number].append(tag + label)
+            node.number = len(self.parent)
+            for column, value in ((self.parent, up.number), (self.path, node.path), (self.label, tag + label), (self.named, named), (self.layout, [])):
+                column.append(value)
+        stack.append(node)
+
+
+_HOST = re.compile(r"\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 def _host(url: str | None) -> str | None:
-    if not url:
-        return None
-    m = re.match(r"\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url)
+    m = _HOST.match(url) if url else None
     return m[1].lower() if m else None
 
 
@@ -162,61 +189,135 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, page (a number of its whole text) and node (a number of a path and the text there), each once."""
+PARSED = """row long, page_id long, url string, host string, page long, parents array<int>, node_paths array<long>, named array<boolean>,
+nodes array<struct<path: long, label: long, layout: long>>, features array<struct<path: long, text: long>>,
+texts array<struct<node: int, feature: long, dropped: boolean, content: boolean, text: string>>"""
 
-    def walk(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            rows: list[tuple[str, int, int]] = []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host = _host(url)
-                if host is None:
-                    continue
-                own = [(path, text) for path, text, dropped, _ in blocks(page or "") if not dropped]
-                whole = _number("\n".join(t for _, t in own))
-                rows += [(host, whole, n) for n in {_number(f"{path}\n{text}") for path, text in own}] or [(host, whole, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "node"])
+def parsed(pages: DataFrame) -> DataFrame:
+    """Every page's tree: its nodes, the layout of each path (of all its nodes there, in order), and its texts."""
+
+    def parse(batches):
+        import pyarrow as pa
 
-    return pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(walk, "host string, page long, node long").distinct()
+        known: dict[str, int] = {}
 
+        def number(text: str) -> int:
+            if text not in known:
+                if len(known) >= 100_000:
+                    known.clear()
+                known[text] = _number(text)
+            return known[text]
 
-def low_importance(tree: DataFrame, least_pages: int = LEAST_PAGES, entropy: float = ENTROPY) -> DataFrame:
-    """host and node of the texts of low importance."""
-    size = tree.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= least_pages)
-    held = tree.groupBy("host", "node").agg(F.count("*").alias("k")).filter("k > 1")
-    met = held.join(size, "host").filter(F.log("k") / F.log("m") >= entropy)
-    return met.select("host", "node")
+        node = pa.struct([("path", pa.int64()), ("label", pa.int64()), ("layout", pa.int64())])
+        feature = pa.struct([("path", pa.int64()), ("text", pa.int64())])
+        block = pa.struct([("node", pa.int32()), ("feature", pa.int64()), ("dropped", pa.bool_()), ("content", pa.bool_()), ("text", pa.string())])
+        types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(node), pa.list_(feature), pa.list_(block))
+        for batch in batches:
+            columns: list[list] = [[] for _ in types]
+            for url, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p = Page(html or "")
+                paths = [number(x) for x in p.path]
+                texts = [(n, _number(t), dropped, content, t) for n, t, dropped, content in p.texts]
+                layouts: dict[int, list[str]] = {}
+                labels: dict[int, int] = {}
+                for path, label, layout in zip(paths, p.label, p.layout):
+                    layouts.setdefault(path, []).append(" ".join(layout))
+                    labels[path] = number(label)
+                row = (
+                    _host(url),
+                    _number("\n".join(t for _, t, dropped, _ in p.texts if not dropped)),
+                    p.parent,
+                    paths,
+                    p.named,
+                    [(path, labels[path], number("|".join(x))) for path, x in layouts.items()],
+                    sorted({(paths[n], t) for n, t, *_ in texts}),
+                    texts,
+                )
+                for c, v in zip(columns, row):
+                    c.append(v)
+            columns = [[[dict(zip(("path", "label", "layout"), n)) for n in r] for r in c] if i == 5 else [[dict(zip(("path", "text"), n)) for n in r] for r in c] if i == 6 else [[dict(zip(("node", "feature", "dropped", "content", "text"), n)) for n in r] for r in c] if i == 7 else c for i, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row", "page_id", "url", "host", "page", "parents", "node_paths", "named", "nodes", "features", "texts"])
+
+    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return own.mapInArrow(parse, PARSED)
+
+
+def style_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each host and path: layout importance, number of layouts and importance of its texts; and the texts (host, path,
+    text) that are part of the site."""
+    known = trees.filter("host is not null")
+    each = known.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*").distinct()
+    layouts = each.groupBy("host", "path", "label", "layout").agg(F.count("*").alias("k"))
+    k, m = F.col("k"), F.col("m")
+    nodes = layouts.groupBy("host", "path", "label").agg(F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("s"))
+    nodes = nodes.withColumn("layout", F.when(m == 1, F.lit(1.0)).otherwise((F.log(m) - F.col("s") / m) / F.log(m + 2)))
+    held = known.select("host", "page", F.explode("features").alias("f")).select("host", "page", "f.*").distinct()
+    texts = held.groupBy("host", "path", "text").agg(F.count("*").alias("k"))
+    means = texts.groupBy("host", "path").agg((F.sum(F.log(k)) / F.count("*")).alias("mean"))
+    nodes = nodes.join(means, ["host", "path"], "left").withColumn("texts", 1 - F.col("mean") / F.log(m + 2))
+    # what nodes of a label have on all hosts; a single page tells nothing
+    wide = nodes.groupBy("label").agg(*[F.try_divide(F.sum((m - 1) * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), m - 1))).alias(f"all_{c}") for c in ("layout", "texts")])
+    leaning = [((m * F.col(c) + LEAN * F.coalesce(f"all_{c}", c)) / (m + LEAN)).alias(c) for c in ("layout", "texts")]
+    stats = nodes.join(wide, "label").select("host", "path", "styles", *leaning)
+    shared = texts.filter("k > 1").join(nodes.select("host", "path", "m"), ["host", "path"]).filter(F.log(k) / F.log(m + 2) >= ENTROPY)
+    return stats, shared.select("host", "path", "text")
+
+
+def keep_texts(parents: list[int], paths: list[int], named: list[bool], texts: list[dict], stats: dict[int, tuple], shared: set) -> list[dict]:
+    """The texts of a page that stay. ``stats`` has (styles, layout, texts) of paths, ``shared`` the site's (path, text)."""
+    n = len(parents)
+    total, count = [0.0] * n, [0] * n
+    strong = [False] * n  # whether a node or any below is of importance
+    for node in {t["node"] for t in texts}:
+        total[node] += stats.get(paths[node], (1, 1.0, 1.0))[2]
+        count[node] += 1
+    for node in range(n - 1, -1, -1):  # children come after their parents
+        if not count[node]:
+            continue
+        styles, layout, _ = stats.get(paths[node], (1, 1.0, 1.0))
+        share = DECAY**styles
+        importance = (1 - share) * layout + share * total[node] / count[node]
+        strong[node] = not named[node] and strong[node] or importance * (PRIOR if named[node] else 1.0) >= LEAST
+        if node:
+            total[parents[node]] += importance
+            count[parents[node]] += 1
+            strong[parents[node]] |= strong[node]
+    stay = [True] * n
+    for node in range(1, n):
+        stay[node] = strong[node] and stay[parents[node]]
+    rest = [t for t in texts if not t["dropped"] and stay[t["node"]] and (paths[t["node"]], t["feature"]) not in shared]
+    return [t for t in rest if t["content"]] if any(t["content"] for t in rest) else rest
+
+
+def main_text(page: str) -> str:
+    """The main text of a page by itself."""
+    p = Page(page)
+    texts = [{"node": n, "feature": 0, "dropped": dropped, "content": content, "text": t} for n, t, dropped, content in p.texts]
+    return " ".join(t["text"] for t in keep_texts(p.parent, p.path, p.named, texts, {}, set()))
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, entropy: float = ENTROPY) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = materialise(low_importance(style_tree(pages), least_pages, entropy), "style-tree")
-    by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    if low.count() <= BROADCAST_ROWS:
-        by_host = F.broadcast(by_host)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    named = own.withColumn("host", F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)))
+    trees = materialise(parsed(pages), "pages")
+    stats, shared = style_tree(trees)
+    own = trees.filter("host is not null")
+    met = own.select("row", "host", F.explode("nodes.path").alias("path")).join(stats, ["host", "path"]).groupBy("row").agg(F.collect_list(F.struct("path", "styles", "layout", "texts")).alias("stats"))
+    hit = own.select("row", "host", F.explode("features").alias("f")).select("row", "host", "f.*").join(shared, ["host", "path", "text"]).groupBy("row").agg(F.collect_list(F.struct("path", "text")).alias("shared"))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                texts.append(main_text(page or "", frozenset(low or ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return named.join(by_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(cut, EXTRACTED)
-
-
-def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    own = [(path, text, content) for path, text, dropped, content in blocks(page) if not dropped]
-    rest = [x for x in own if not low or _number(f"{x[0]}\n{x[1]}") not in low]
-    if any(content for _, _, content in rest):
-        rest = [x for x in rest if x[2]]
-    return " ".join(text for _, text, _ in rest)
+            found = []
+            for parents, paths, named, texts, stats, shared in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+                known = {x["path"]: (x["styles"], x["layout"], 1.0 if x["texts"] is None else x["texts"]) for x in stats or ()}
+                kept = keep_texts(parents, paths, named, texts, known, {(x["path"], x["text"]) for x in shared or ()})
+                found.append(" ".join(t["text"] for t in kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    joined = trees.join(met, "row", "left").join(hit, "row", "left")
+    return joined.select("page_id", "url", "parents", "node_paths", "named", "texts", "stats", "shared").mapInArrow(cut, EXTRACTED)

@@ -57,22 +57,16 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])]
 
 
-def ordered_blocks(df: DataFrame, key: str, rows_per_block: int, most: int = 4096) -> tuple[list[int], Column]:
-    """Cut points of about equal blocks in ascending key order, and the block number of a row.
-
-    The cut points are literals (at most ``most``), so blocks stay the same when a task runs again. Null keys
-    come first. Equal keys share a block."""
-    n = df.count()
-    blocks = max(1, min(most, -(-n // rows_per_block)))
-    cuts: list[int] = []
-    if blocks > 1:
-        probs = [i / blocks for i in range(1, blocks)]
-        cuts = sorted({int(c) for c in df.approxQuantile(key, probs, 1 / (4 * blocks)) if c is not None})
-    if not cuts:
-        return cuts, F.lit(0)
-    arr = F.array(*[F.lit(c).cast("long") for c in cuts])
-    number = F.size(F.filter(arr, lambda c: c <= F.col(key)))
-    return cuts, F.when(F.col(key).isNull(), F.lit(0)).otherwise(number)
+def in_order(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id and text in partitions of ascending doc_id, null first, of about ``block_bytes`` of text each; rows of one
+    doc_id are ordered by text, and go to several partitions where the first 64 characters differ. The number of partitions
+    grows with the input."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("start", F.substring("text", 1, 64))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "start", "text")]
+    laid = docs.repartitionByRange(max(1, -(-size // block_bytes)), *order[:2])
+    return laid.sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def utf8_column(col) -> tuple[np.ndarray, np.ndarray]:

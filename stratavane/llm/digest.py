@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_blocks
+from .common import in_order, materialise
 
 BUCKETS = 256
-DOCS_PER_BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 #: Score of two texts that have nothing in common but a language; larger differences count as this one.
 BOUND = 384
 _APART = np.array([0, 1, 3, 6], np.int64)
@@ -97,72 +97,77 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return docs.select(*keep, F.col(text).cast("string")).mapInArrow(digest, schema)
 
 
-def with_next(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
-    """Rows in blocks of ascending doc_id (block, ghost, doc_id, text), each block ended by a ghost: the first row of the
-    next block, or after the last that of the first. The texts are shuffled once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, block = ordered_blocks(docs.select("doc_id"), "doc_id", docs_per_block)
-    firsts = docs.select(block.alias("block"), "doc_id").groupBy("block").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null_first")).collect()  # one row a block, at most 4096
-    order = sorted(firsts, key=lambda r: r["block"])
-    before = [order[k - 1]["block"] for k in range(len(order))]
-    known = [(F.lit(r["first"]).cast("long"), F.lit(int(b)).cast("int")) for r, b in zip(order, before) if not r["null_first"]]
-    places = F.try_element_at(F.create_map(*[x for pair in known for x in pair]), F.col("doc_id")) if known else F.lit(None).cast("int")
-    if order and order[0]["null_first"]:
-        places = F.when(F.col("doc_id").isNull(), F.lit(int(before[0])).cast("int")).otherwise(places)
-    both = docs.withColumn("own", block.cast("int")).withColumn("before", places)
-    real = F.struct(F.col("own").alias("block"), F.lit(False).alias("ghost"))
-    extra = F.struct(F.col("before").alias("block"), F.lit(True).alias("ghost"))
-    spread = both.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(real)).otherwise(F.array(real, extra))))
-    return (
-        spread.select("at.block", "at.ghost", "doc_id", "text")
-        .repartition("block")
-        .sortWithinPartitions("block", "ghost", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    )
-
-
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def edited_likeness(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, share: int = 4) -> DataFrame:
+_END = "kind int, part int, text string"
+
+
+def _compared(doc_id: list, text: list[str], after: list[str], code: np.ndarray, code_after: np.ndarray, share: int) -> list:
+    """Result columns of documents and their next ones."""
+    import pyarrow as pa
+
+    edited = []
+    for t, nxt in zip(text, after):
+        m = len(t) // share
+        edited.append((t[: len(t) - m] + nxt[:m]).encode("utf-8", "surrogatepass"))
+    e = codes(edited)
+    return [
+        pa.array(doc_id, pa.int64()),
+        pa.array([len(t) for t in text], pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()),
+        pa.array(text_form(code), pa.string()),
+        pa.array(text_form(e), pa.string()),
+        pa.array(likeness(code, e), pa.float64()),
+        pa.array(likeness(code, code_after), pa.float64()),
+    ]
+
+
+def edited_likeness(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share: int = 4) -> DataFrame:
     """Each document's digest against that of its edited text (its last 1/``share`` of code points replaced by the first
-    of the next document) and against that of the next document."""
+    of the next document) and against that of the next document. Texts are shuffled once, in order; the last document of a
+    partition and the first of the next one meet by a join of these alone."""
+    spark = docs.sparkSession
+    names = [c.split()[0] for c in f"{EDITED}, {_END}".split(", ")]
 
     def compare(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held = None  # the last row, whose next is yet to come: doc_id, text, code
+
+        def end(kind, doc_id, text):
+            row = [[doc_id], *[[None]] * 6, [kind], [part], [text]]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=names)
 
-        held = None  # the last row, whose next is yet to come: block, doc_id, text, its bytes, its code
         for batch in batches:
-            block, ghost, doc_id = (batch.column(i).to_pylist() for i in range(3))
-            text = [t or "" for t in batch.column(3).to_pylist()]
-            raw = [t.encode("utf-8", "surrogatepass") for t in text]
-            code = codes(raw)
-            rows: list[tuple] = []
-            own: list[np.ndarray] = []
-            after: list[np.ndarray] = []
-            for i in range(len(text)):
-                if held is not None and held[0] == block[i]:
-                    rows.append((held[1], held[2], text[i]))
-                    own.append(held[3])
-                    after.append(code[i])
-                held = None if ghost[i] else (block[i], doc_id[i], text[i], code[i])
-            if not rows:
+            if not batch.num_rows:
                 continue
-            edited = []
-            for _, t, nxt in rows:
-                m = len(t) // share
-                edited.append((t[: len(t) - m] + nxt[:m]).encode("utf-8", "surrogatepass"))
-            a, b, e = np.array(own), np.array(after), codes(edited)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([len(r[1]) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in edited]),
-                    pa.array(text_form(a)),
-                    pa.array(text_form(e)),
-                    pa.array(likeness(a, e)),
-                    pa.array(likeness(a, b)),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    return with_next(docs, docs_per_block).mapInArrow(compare, EDITED)
+            doc_id, text = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            code = codes([t.encode("utf-8", "surrogatepass") for t in text])
+            if held is None:
+                yield end(1, doc_id[0], text[0])
+            else:
+                doc_id, text, code = [held[0], *doc_id], [held[1], *text], np.concatenate([held[2][None], code])
+            held = doc_id[-1], text[-1], code[-1]
+            n = len(text) - 1
+            if n:
+                got = _compared(doc_id[:-1], text[:-1], text[1:], code[:-1], code[1:], share)
+                yield pa.RecordBatch.from_arrays([*got, pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([None] * n, pa.string())], names=names)
+        if held is not None:
+            yield end(2, *held[:2])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            doc_id, text, after = (c.to_pylist() for c in batch.columns)
+            code, code_after = (codes([t.encode("utf-8", "surrogatepass") for t in x]) for x in (text, after))
+            yield pa.RecordBatch.from_arrays(_compared(doc_id, text, after, code, code_after, share), names=names[:7])
+
+    found = materialise(in_order(docs, block_bytes).mapInArrow(compare, f"{EDITED}, {_END}"), "digests")
+    parts = sorted(r["part"] for r in found.filter("kind = 1").select("part").collect())  # a number for each partition
+    following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, next int")
+    first = found.filter("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    last = found.filter("kind = 2").select("part", "doc_id", "text").join(following, "part").join(first, "next")
+    return found.filter("kind = 0").select(*names[:7]).unionByName(last.select("doc_id", "text", "after").mapInArrow(meet, EDITED))

@@ -19,11 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ordered_blocks, prepare
+from ..sources import fresh_path
+from .common import in_order, prepare
 
 ROW_TOKENS = 2048
 ROWS_PER_BATCH = 128
-DOCS_PER_BLOCK = 4096
+BLOCK_BYTES = 16 << 20
 END_ID = 2
 
 
@@ -127,37 +128,31 @@ class TokenFile:
             start, n, k = start + len(part), n - len(part), k + 1
 
 
-def write(docs: DataFrame, vocabulary_name: str, folder: str, end_id: int = END_ID, row_tokens: int = ROW_TOKENS, docs_per_block: int = DOCS_PER_BLOCK) -> list[tuple[int, int]]:
-    """Writes the files; (block, ids in it) in order. Only these totals, at most 4096, come to the driver."""
+def write(docs: DataFrame, vocabulary_name: str, folder: str, end_id: int = END_ID, row_tokens: int = ROW_TOKENS, block_bytes: int = BLOCK_BYTES) -> list[tuple[int, int]]:
+    """Writes the files; (block, ids in it) in order. Only these totals, one a block, come to the driver."""
 
     def put(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from .tokens import encoder, vocabulary
 
         enc = encoder(vocabulary(vocabulary_name))
         wide = enc.tok.get_vocab_size() > 65536
         end = np.array([end_id], "<u4").tobytes()
-        now, writer, done = None, None, []
+        block, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for block, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if block != now:
-                    if writer:
-                        done.append((now, writer.close()))
-                    now, writer = block, _Writer(folder, block, row_tokens, wide)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                writer = writer or _Writer(folder, block, row_tokens, wide)
                 writer.add(doc_id, np.frombuffer(enc.encode(text.as_py() or "") + end, "<u4"))
         if writer:
-            done.append((now, writer.close()))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64())], names=["block", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([writer.close()], pa.int64())], names=["block", "n"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, block = ordered_blocks(docs.select("doc_id"), "doc_id", docs_per_block)
-    laid = docs.select(block.cast("int").alias("block"), "doc_id", "text").repartition("block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return sorted((r["block"], r["n"]) for r in laid.mapInArrow(put, "block int, n long").collect())
+    return sorted((r["block"], r["n"]) for r in in_order(docs, block_bytes).mapInArrow(put, "block int, n long").collect())
 
 
 def read(spark: SparkSession, folder: str, blocks: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files, which are read through once, a batch at a time."""
     rows, base = [], 0
     for block, n in blocks:
         rows.append((block, base, n))
@@ -168,17 +163,27 @@ def read(spark: SparkSession, folder: str, blocks: list[tuple[int, int]]) -> Dat
 
         for batch in batches:
             for block, first, n in zip(*(c.to_pylist() for c in batch.columns)):
-                file = TokenFile(folder, block)
-                if file.valid != n:
-                    raise ValueError(f"block {block} holds {file.valid} ids, not {n}")
-                crcs = []
-                for start, size in zip(file.docs["start"].to_pylist(), file.docs["n_tokens"].to_pylist()):
-                    crc = 0
-                    for part in file.tokens(start, size):
-                        crc = zlib.crc32(part.astype("<u4"), crc)
-                    crcs.append(crc)
+                fs, path = _filesystem(folder)
+                with fs.open_input_file(f"{path}/block-{block:06d}.docs.arrows") as source, pa.ipc.open_stream(source) as r:
+                    docs = r.read_all()
+                sizes = docs["n_tokens"].to_pylist()
+                crcs, crc, left, k, seen = [], 0, sizes[0] if sizes else 0, 0, 0
+                with fs.open_input_file(f"{path}/block-{block:06d}.ids.arrows") as source, pa.ipc.open_stream(source) as r:
+                    for part in r:
+                        valid = part.column(1).flatten().true_count
+                        ids = part.column(0).flatten().to_numpy(zero_copy_only=True)[:valid].astype("<u4")
+                        seen, at = seen + valid, 0
+                        while at < valid:
+                            take = min(left, valid - at)
+                            crc, at, left = zlib.crc32(ids[at : at + take], crc), at + take, left - take
+                            if not left:  # every document has its end id
+                                crcs.append(crc)
+                                crc, k = 0, k + 1
+                                left = sizes[k] if k < len(sizes) else valid + 1
+                if seen != n or len(crcs) != len(sizes):
+                    raise ValueError(f"block {block} holds {seen} ids, not {n}")
                 yield pa.RecordBatch.from_arrays(
-                    [file.docs["doc_id"].combine_chunks(), pa.array(np.asarray(file.docs["start"]) + first), file.docs["n_tokens"].combine_chunks(), pa.array(crcs, pa.int64())],
+                    [docs["doc_id"].combine_chunks(), pa.array(np.asarray(docs["start"]) + first), docs["n_tokens"].combine_chunks(), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

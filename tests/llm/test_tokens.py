@@ -47,10 +47,10 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
 
 
-@pytest.mark.parametrize("per_block", [7, 4096])
-def test_round_trip(spark, per_block):
+@pytest.mark.parametrize("block_bytes", [3000, tokenfile.BLOCK_BYTES])
+def test_round_trip(spark, block_bytes):
     rows = corpus(6, 40) + AWKWARD
-    got = tokenfile.round_trip(table(spark, rows).repartition(3), docs_per_block=per_block, row_tokens=64)
+    got = tokenfile.round_trip(table(spark, rows).repartition(3), block_bytes=block_bytes, row_tokens=64)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want(rows, in_order)
 
 

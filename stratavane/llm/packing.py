@@ -6,7 +6,9 @@ would be left (``norm``), or the largest weighted dot product of the item's dema
 
 Items are dealt by hash into shards of about ``shard_items``, each packed by itself, so that no task grows with the input
 and a shard leaves at most a few bins that are not full. Defined results: null texts are empty and hold only the end id;
-an empty table gives no rows; repeated rows are packed each by itself; other columns are left out."""
+a document over the tokens of a sequence is cut, one of any length whole otherwise; rows with a null or repeated doc_id, and
+repeated rows, are packed each by itself; items of equal demand go in order of doc_id, piece and start, and bins of equal score
+by age; an empty table gives no rows; other columns are left out."""
 
 from __future__ import annotations
 
@@ -16,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SEQUENCE_TOKENS = 2048
 SHARD_ITEMS = 8192
 END_ID = 0
@@ -125,10 +129,13 @@ def pack(
         ids = (np.int64(table["shard"][0].as_py()) << np.int64(32)) + bins
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*items.columns), F.lit(shards))).select("doc_id", "piece", "start", "length", "ids_crc32", "shard")
     return dealt.groupBy("shard").applyInArrow(shard, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json", shard_items: int = SHARD_ITEMS, **limits) -> DataFrame:
-    shards = max(1, -(-docs.count() // shard_items))
-    return pack(pieces(docs, vocabulary_name, limits.get("tokens", SEQUENCE_TOKENS)), shards, **limits)
+    """All pieces of ``docs``, packed. They are numbered and counted where they are stored, so that equal rows go to
+    different shards and shards are as many as pieces need."""
+    items = pieces(docs, vocabulary_name, limits.get("tokens", SEQUENCE_TOKENS)).withColumn("number", F.monotonically_increasing_id())
+    items = materialise(items, "pieces")
+    return pack(items, max(1, -(-items.count() // shard_items)), **limits)

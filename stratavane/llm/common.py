@@ -13,14 +13,16 @@ from ..sources import drop_path, fresh_path
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a few copies of a batch.
-BATCH_ROWS = 2000
+#: Rows of a batch, of Parquet's reader and of Arrow: texts are long, and readers and workers hold a few copies of a batch.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": (512, "4096"), "spark.sql.execution.arrow.maxRecordsPerBatch": (2000, "10000")}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver found it, and get batches they can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Let Python workers import this package wherever the driver found it, and keep batches of whole texts small. Plans read
+    these settings when they run, so they stay for the session; smaller ones of the caller's are left alone."""
+    for name, (rows, usual) in BATCH_ROWS.items():
+        if int(spark.conf.get(name, usual)) > rows:
+            spark.conf.set(name, str(rows))
     env = spark.sparkContext.environment
     have = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if REPO_ROOT not in have:

@@ -1,8 +1,11 @@
-"""python -m stratavane.cli --program p.datalog [--input DIR] [--output DIR] [--jobs N] [--config FILE] [--sql QUERY]"""
+"""python -m stratavane.cli --program p.datalog [--input DIR] [--output DIR] [--jobs N] [--config FILE] [--sql QUERY]
+[--mode network|interactive]. Without --config, Config.json in the folder of CONFIG_FILE_DIR is read if that is set."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -20,8 +23,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--explain", action="store_true", help="print the strata and stop")
     p.add_argument("--certain", action="store_true", help="answers that hold in every repair")
     p.add_argument("--sql", help="Spark SQL over the derived relations")
+    p.add_argument("--mode", choices=("network", "interactive"), default="network", help="interactive: then read SQL, a query a line")
     a = p.parse_args(argv)
-    config = EngineConfig.from_json(a.config) if a.config else EngineConfig()
+    folder = os.environ.get("CONFIG_FILE_DIR")
+    path = a.config or (os.path.join(folder, "Config.json") if folder else None)
+    config = EngineConfig.from_json(path) if path else EngineConfig()
     config.input_dir = a.input or config.input_dir
     config.jobs = a.jobs or config.jobs
     if a.output:
@@ -44,8 +50,23 @@ def main(argv: list[str] | None = None) -> int:
         else:
             for name, df in result.relations.items():
                 print(name, df.count())
+        if a.mode == "interactive":
+            shell(engine)
     return 0
 
 
+def shell(engine: Engine, lines=sys.stdin) -> None:
+    """Runs each line as Spark SQL over the derived relations, until ``quit`` or the end."""
+    for line in lines:
+        query = line.strip().rstrip(";")
+        if query in ("quit", "exit"):
+            return
+        if query:
+            try:
+                engine.sql(query).show(truncate=False)
+            except Exception as error:  # a mistake in one line doesn't end the session
+                print(str(error).split("\n")[0])
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

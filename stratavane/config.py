@@ -20,7 +20,7 @@ class EngineConfig:
     set_difference: str = "dynamic"
     max_iterations: int = 10_000
     stop_after: int | None = None
-    analyze: str = "off"  # off or full: statistics of stored tables that are given by name
+    analyze: str = "off"  # off, minimum (sizes) or full (columns too): statistics of stored tables that are given by name
     cqa: str | None = None  # attack_graph, join_graph or pair_pruning
     jobs: int | None = None
 

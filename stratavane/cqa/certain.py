@@ -49,7 +49,7 @@ def by_attack_graph(program: Program, query: Query, tables: dict[str, DataFrame]
                 facts = facts.filter(F.col(f"__f{j}") == F.lit(x.value))
             else:
                 on.append(F.col(x.name) == F.col(f"__f{j}"))
-        blocks = candidates.join(facts, reduce(lambda a, b: a & b, on)) if on else candidates.join(facts.withColumnRenamed(_ONE, _ONE).withColumn("__same", F.lit(1)), F.col(_ONE) == F.col("__same")).drop("__same")
+        blocks = candidates.join(facts, reduce(lambda a, b: a & b, on)) if on else candidates.join(facts.withColumn("__same", F.lit(1)), F.col(_ONE) == F.col("__same")).drop("__same")
         fits = F.lit(True)
         for j, x in enumerate(atom.args):
             if j in keys:

@@ -49,6 +49,10 @@ class Engine:
         """Evaluates a program; recursion runs now, the rest when its result is used."""
         program = self.parse(text)
         strata = stratify(program)
+        if self.config.preload and self.config.analyze != "off":  # before plans are made
+            for r in program.inputs:
+                if r.name not in (edb or {}):
+                    self.spark.sql(f"ANALYZE TABLE {r.name} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if self.config.analyze == "full" else ""))
         evaluator = Evaluator(self.spark, program, self._inputs(program, edb or {}), self._options(program))
         for r in program.derived:  # relations without rules are empty
             if not any(r.name in s.relations for s in strata):
@@ -58,9 +62,6 @@ class Engine:
         relations = {r.name: evaluator.tables[r.name] for r in program.derived}
         if self.config.retain_final_output_only:
             relations = {n: df for n, df in relations.items() if n in self.config.final_output_relations}
-        if self.config.analyze == "full" and self.config.preload:
-            for r in program.inputs:
-                self.spark.sql(f"ANALYZE TABLE {r.name} COMPUTE STATISTICS FOR ALL COLUMNS")
         for name, df in relations.items():
             df.createOrReplaceTempView(name)
             self.views.append(name)

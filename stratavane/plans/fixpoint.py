@@ -12,7 +12,8 @@ import logging
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import best_per_key, difference, difference_two_phase, distinct, undominated, union_all
 from ..sources import drop_path, fresh_path, store
@@ -44,6 +45,7 @@ class Options:
     bags: frozenset[str] = frozenset()
     compact_every: int = 16
     broadcast_rows: int = 200_000
+    two_phase_rows: int = 4_000_000  # of a relation that is shuffled without a thought below
 
 
 @dataclass
@@ -56,6 +58,8 @@ class State:
     count: int
     new: int
     paths: list[str] = field(default_factory=list)
+    overlap: float | None = None  # share of the last candidates that the relation had already
+    doomed: list[str] = field(default_factory=list)  # files that only the next iteration still reads
 
 
 class Evaluator:
@@ -158,21 +162,35 @@ class Evaluator:
         if self._two_phase(state):
             # the candidates' number is known before anything is broadcast
             candidates, n, path = self._write(found, name)
-            if n <= self.options.broadcast_rows:
-                got = self._write(difference_two_phase(candidates, state.full), name)
-                drop_path(self.spark, path)
-                return got
-            found = candidates
-        return self._write(difference(found, state.full), name)
+            few = n <= self.options.broadcast_rows
+            got = self._write((difference_two_phase if few else difference)(candidates, state.full), name)
+            drop_path(self.spark, path)
+        else:
+            seen = Observation()
+            got = self._write(difference(found.observe(seen, F.count(F.lit(1)).alias("n")), state.full), name)
+            n = seen.get.get("n", 0)
+        state.overlap = max(0.0, 1 - got[1] / n) if n else None
+        return got
 
     def _two_phase(self, state: State) -> bool:
-        """Whether the relation is so much larger than what an iteration finds that it shouldn't be shuffled for it."""
+        """Whether the relation is so much larger than what an iteration finds that it shouldn't be shuffled for it. One
+        phase costs the building of the relation, two phases that of the candidates and of what both have; between the
+        thresholds the last iteration's overlap decides."""
         if self.options.set_difference != "dynamic":
             return self.options.set_difference == "two_phase"
-        return state.count > 20 * self.options.broadcast_rows and state.count >= TWO_PHASE_FROM * max(state.new, 1)
+        ratio = state.count / max(state.new, 1)
+        if state.count <= self.options.two_phase_rows or ratio <= ONE_PHASE_UP_TO:
+            return False
+        return ratio >= TWO_PHASE_FROM or state.overlap is not None and state.overlap < ratio / ONE_PHASE_UP_TO - 1
 
     def _advance(self, name: str, s: State, got, aggregate) -> None:
         s.prev = s.full
+        doomed, s.doomed = s.doomed, []
+        self._replace(name, s, got, aggregate)
+        for path in doomed:
+            drop_path(self.spark, path)
+
+    def _replace(self, name: str, s: State, got, aggregate) -> None:
         if got is None or not got[1]:
             if got is not None:
                 drop_path(self.spark, got[2])
@@ -181,13 +199,13 @@ class Evaluator:
         s.delta, s.new, path = got
         if aggregate:
             s.full, s.count, whole = self._write(best_per_key(s.full.unionByName(s.delta), *self._keys(name, aggregate)), name)
-            s.paths = [whole]
+            s.doomed, s.paths = [*s.paths, path], [whole]
         else:
             s.paths.append(path)
             s.count += s.new
             if len(s.paths) > self.options.compact_every:
                 s.full, _, whole = self._write(self.spark.read.schema(s.delta.schema).parquet(*s.paths), name)
-                s.paths = [whole]
+                s.doomed, s.paths = s.paths, [whole]
             else:
                 s.full = self.spark.read.schema(s.delta.schema).parquet(*s.paths)
         self.tables[name] = s.full

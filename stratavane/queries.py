@@ -45,7 +45,7 @@ TABLES = {
     "Nation": "SELECT n_nationkey AS n, n_name AS name, n_regionkey AS r FROM nation",
     "Region": "SELECT r_regionkey AS r, r_name AS name FROM region",
     "Arc": f"SELECT DISTINCT CAST({_FROM} AS INT) AS x, CAST(l_orderkey AS INT) AS y FROM lineitem",
-    "ArcW": f"SELECT CAST({_FROM} AS INT) AS x, CAST(l_orderkey AS INT) AS y, min(CAST((l_orderkey + l_suppkey) % 17 + 1 AS INT)) AS w FROM lineitem GROUP BY 1, 2",
+    "ArcW": f"SELECT CAST({_FROM} AS INT) AS x, CAST(l_orderkey AS INT) AS y, min(CAST((l_orderkey + l_partkey) % 17 + 1 AS INT)) AS w FROM lineitem GROUP BY 1, 2",
     "Assign": _POINTER.format(1),
     "Deref": _POINTER.format(2),
     "Load": _POINTER.format(3),

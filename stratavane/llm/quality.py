@@ -6,7 +6,9 @@ shapes, hashed into 2^18 weights; a feature's value is its share of the text's w
 
 The model is fitted on at most ``sample_rows`` labelled rows, the first by a hash of doc_id; every row is scored. Only the
 weights (1 MB) pass the driver. Defined results: null and empty texts get the score of the bias; null labels are not
-learned from; with no labelled row every score is 0.5; equal rows get equal scores; an empty table gives no rows."""
+learned from; of several documents of one labelled doc_id each is a row; with no labelled row every score is 0.5; equal rows get
+equal scores; texts of any length are read whole; other columns have no part in a score, and ``keep_good`` keeps them, also where
+they are named as its own are; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -116,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
         yield pa.RecordBatch.from_arrays([pa.array([fit_ftrl(got, labels[order]).tobytes()], pa.binary())], names=["weights"])
 
     sparse = rows.mapInArrow(vectors, "doc_id long, label double, at binary, value binary")
-    got = sparse.repartition(1).mapInArrow(fit, "weights binary").collect()  # one task: the sample is bounded
+    # one task, of at most ``sample_rows`` rows, also where documents share a labelled doc_id
+    few = sparse.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "at", "value").limit(sample_rows)
+    got = few.mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(got[0]["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 

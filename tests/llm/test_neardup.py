@@ -14,7 +14,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     sets = [(i, shingles(t)) for i, t, *_ in rows]
     up = {i: i for i, _ in sets if i is not None}
 
@@ -25,7 +25,7 @@ def brute(rows):
 
     for i, a in sets:
         for j, b in sets:
-            if i is not None and j is not None and a and 100 * len(a & b) >= 85 * len(a | b):
+            if i is not None and j is not None and a and 100 * len(a & b) >= threshold * len(a | b):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     return sorted(((i, len(s), root(i) if i is not None else None, i is None or root(i) == i) for i, s in sets), key=str)

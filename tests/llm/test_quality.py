@@ -2,7 +2,8 @@ import random
 import zlib
 
 import numpy as np
-from helpers import AWKWARD, table, words
+import pytest
+from helpers import AWKWARD, corpus, table, words
 
 from stratavane.llm import quality
 
@@ -53,3 +54,49 @@ def test_a_text_scores_the_same_alone():
     for t, (where, value) in zip(texts, rows):
         own = quality.sparse_rows(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
         assert np.array_equal(own[0], where) and np.allclose(own[1], value)
+
+
+def test_updates_against_plain_loops():
+    import math
+
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(50, 8, replace=False)), rng.random(8)) for _ in range(40)]
+    labels = rng.integers(0, 2, 40).astype(float)
+    z, n, bias = {}, {}, 1 << quality.BITS
+    alpha, beta, l1, l2 = 1.0, 1.0, 0.02, 0.1
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for (where, value), label in zip(rows, labels):
+            x = {**dict(zip(where.tolist(), value.tolist())), bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[i]
+                n[i] = before + g * g
+    got = quality.fit_ftrl(rows, labels, 3)
+    assert np.allclose(got[sorted(z)], [weight(i) for i in sorted(z)], atol=1e-5) and not np.delete(got, sorted(z)).any()
+
+
+def test_a_score_is_the_sparse_dot_product_of_its_features(spark):
+    rng = np.random.default_rng(5)
+    weights = rng.normal(0, 0.3, (1 << quality.BITS) + 1).astype(np.float32)
+    rows = corpus(5, 30) + AWKWARD
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality.score(table(spark, rows), weights, ("doc_id", "text")).collect()}
+    for i, t, _ in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        (where, value), = quality.sparse_rows(raw, np.array([0, len(raw)]))
+        assert got[i, t] == pytest.approx(1 / (1 + np.exp(-(weights[where].astype(float) @ value + weights[-1]))), rel=1e-6)
+
+
+def test_many_documents_of_one_labelled_id(spark):
+    rows = [(1, f"good words here {i}", "a") for i in range(300)] + [(2, "$$ ## !!", "a"), (3, "fine words there", "a")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(table(spark, rows), labels, folds=10**9, held=-1, sample_rows=50).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == 1

@@ -29,6 +29,8 @@ DECLARED = {
     "AddressOf": "AddressOf(x int, y int)",
     "LineS": "LineS([o] int, s int)",
     "SuppK": "SuppK([s] int, t int)",
+    "LineP": "LineP([o] int, p int)",
+    "PartK": "PartK([p] int, z int)",
 }
 
 # Graphs over all rows of ``lineitem``: an order's lines lead to it from earlier orders of its batch of 32
@@ -53,6 +55,8 @@ TABLES = {
     "AddressOf": _POINTER.format(5),
     "LineS": "SELECT DISTINCT CAST(l_orderkey AS INT) AS o, CAST(l_suppkey AS INT) AS s FROM lineitem",
     "SuppK": "SELECT CAST(s_suppkey AS INT) AS s, s_nationkey AS t FROM supplier WHERE s_nationkey < 12",
+    "LineP": "SELECT DISTINCT CAST(l_orderkey AS INT) AS o, CAST(l_partkey AS INT) AS p FROM lineitem",
+    "PartK": "SELECT CAST(p_partkey AS INT) AS p, p_size AS z FROM part WHERE p_size > 15",
 }
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -207,6 +211,10 @@ _LINES = "SELECT l.o FROM lines l LEFT JOIN suppk u ON l.s = u.s GROUP BY l.o HA
 _add("c9_certain_join", ["LineS", "SuppK"], "Q(o int)", "Q(o) :- LineS(o, s), SuppK(s, t).", "Q", _LINES, certain="attack_graph")
 _add("c9_certain_const", ["LineS", "SuppK"], "Q(o int)", "Q(o) :- LineS(o, s), SuppK(s, 3).", "Q", "SELECT l.o FROM lines l LEFT JOIN suppk u ON l.s = u.s AND u.t = 3 GROUP BY l.o HAVING count(*) = count(u.t)", certain="attack_graph")
 _add("c16_certain_join_tree", ["LineS", "SuppK"], "Q(o int)", "Q(o) :- LineS(o, s), SuppK(s, t).", "Q", _LINES, certain="join_graph")
+_BOTH = f"{_LINES} INTERSECT SELECT l.o FROM linep l LEFT JOIN partk u ON l.p = u.p GROUP BY l.o HAVING count(*) = count(u.z)"
+_add("c14_certain_key_join", ["LineS", "SuppK", "LineP", "PartK"], "Q(o int)", "Q(o) :- LineS(o, s), SuppK(s, t), LineP(o, p), PartK(p, z).", "Q", _BOTH, certain="join_graph")
+_add("c19_certain_forest", ["SuppK", "LineP", "PartK"], "Q(o int, s int)", "Q(o, s) :- LineP(o, p), PartK(p, z), SuppK(s, 3).", "Q",
+     "SELECT o, s FROM (SELECT l.o FROM linep l LEFT JOIN partk u ON l.p = u.p GROUP BY l.o HAVING count(*) = count(u.z)), (SELECT s FROM suppk GROUP BY s HAVING min(t) = 3 AND max(t) = 3)", certain="join_graph")
 _add("c20_certain_union", ["LineS", "SuppK"], "Q(o int)", "Q(o) :- LineS(o, s), SuppK(s, 3).\nQ(o) :- LineS(o, s), SuppK(s, 4).", "Q",
      "SELECT l.o FROM lines l LEFT JOIN suppk u ON l.s = u.s AND u.t = 3 GROUP BY l.o HAVING count(*) = count(u.t) UNION SELECT l.o FROM lines l LEFT JOIN suppk u ON l.s = u.s AND u.t = 4 GROUP BY l.o HAVING count(*) = count(u.t)", certain="pair_pruning")
 

@@ -14,11 +14,13 @@ from ..plans.ast import ProgramError, Relation
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests, one machine)."""
+    """The cluster's shared folder; a temporary one where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = getattr(spark, "_stratavane_shared", None)
+    if own is None and not spark.sparkContext.master.startswith("local"):
+        raise ProgramError("set spark.checkpoint.dir to a folder that all executors share")
     if own is None:
         own = spark._stratavane_shared = "file://" + tempfile.mkdtemp(prefix="stratavane-")
     return own

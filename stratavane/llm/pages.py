@@ -6,9 +6,10 @@ different pages of a host with the node, a layout or text that k of them share h
 -sum(k/m * log(k/m)) / log(m + 2), of a text log(k) / log(m + 2). A node's layout importance is that entropy (1 where there is
 one page); the importance of the texts at a node is 1 less their mean entropy. Where few pages tell, these lean on what nodes
 of the same tag and class have on all hosts, which weighs as ``LEAN`` pages. The importance of a branch on a page is
-(1 - g) * its layout importance + g * the mean of its children's, with g = ``DECAY`` to the power of its number of layouts.
+(1 - g) * its layout importance + g * the mean of its children's, with g = ``DECAY`` to the power of its number of layouts; a
+node of texts alone has theirs.
 
-A branch without a node of an importance of ``LEAST`` is removed from the page, and so is a text with an entropy of ``ENTROPY``
+A branch without a node whose texts or branch are of an importance of ``LEAST`` is removed from the page, and so is a text with an entropy of ``ENTROPY``
 or more. A node whose kind says that it isn't content (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments) has its
 importance times ``PRIOR``, which takes its branch out whatever the tree says: entropy can't see texts that differ on every
@@ -16,8 +17,8 @@ page, as
 adverts' do. A class counts only if all of its words say so. Where the rest has an article or main element with text, only
 that is kept. Copies of a page count once, so an article that is posted several times stays.
 
-Pages are parsed once, into a table in the shared folder; what is known of a page's nodes and texts comes to it by joins, never
-a host's whole tree. Defined results: null html is empty and gives empty text; a null url has no host, and its page loses
+Pages are parsed for the tree, which is stored without texts, and again to cut them, with what is known of the nodes and texts
+of their own, never a host's whole tree. Defined results: null html is empty and gives empty text; a null url has no host, and its page loses
 nodes by kind only; equal rows give equal rows; html of any length is read whole; broken markup is read as browsers do (open
 elements end with their parent); an empty table gives no rows; other columns are left out."""
 
@@ -189,71 +190,67 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = """row long, page_id long, url string, host string, page long, parents array<int>, node_paths array<long>, named array<boolean>,
-nodes array<struct<path: long, label: long, layout: long>>, features array<struct<path: long, text: long>>,
-texts array<struct<node: int, feature: long, dropped: boolean, content: boolean, text: string>>"""
+TREES = """key long, host long, page long, nodes array<struct<path: long, label: long, layout: long>>, features array<struct<path: long, text: long>>"""
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """Every page's tree: its nodes, the layout of each path (of all its nodes there, in order), and its texts."""
+def _numbered(page: Page, number) -> tuple[list[int], list[tuple[int, int]]]:
+    """Numbers of the nodes' paths, and of each text's path and the text."""
+    paths = [number(x) for x in page.path]
+    return paths, [(paths[n], _number(t)) for n, t, *_ in page.texts]
+
+
+def _remembering():
+    """``_number``, of paths that come again."""
+    known: dict[str, int] = {}
+
+    def number(text: str) -> int:
+        if text not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            known[text] = _number(text)
+        return known[text]
+
+    return number
 
-    def parse(batches):
-        import pyarrow as pa
 
-        known: dict[str, int] = {}
+def trees(pages: DataFrame) -> DataFrame:
+    """Of each different page (its url and html by ``key``): host, number of its text, layout of each path (of all nodes
+    there, in order), and the paths' texts."""
 
-        def number(text: str) -> int:
-            if text not in known:
-                if len(known) >= 100_000:
-                    known.clear()
-                known[text] = _number(text)
-            return known[text]
+    def parse(batches):
+        import pyarrow as pa
 
+        number = _remembering()
         node = pa.struct([("path", pa.int64()), ("label", pa.int64()), ("layout", pa.int64())])
         feature = pa.struct([("path", pa.int64()), ("text", pa.int64())])
-        block = pa.struct([("node", pa.int32()), ("feature", pa.int64()), ("dropped", pa.bool_()), ("content", pa.bool_()), ("text", pa.string())])
-        types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(node), pa.list_(feature), pa.list_(block))
         for batch in batches:
-            columns: list[list] = [[] for _ in types]
-            for url, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            columns: list[list] = [[] for _ in range(4)]
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 p = Page(html or "")
-                paths = [number(x) for x in p.path]
-                texts = [(n, _number(t), dropped, content, t) for n, t, dropped, content in p.texts]
-                layouts: dict[int, list[str]] = {}
-                labels: dict[int, int] = {}
+                paths, features = _numbered(p, number)
+                layouts: dict[int, tuple[str, list[str]]] = {}
                 for path, label, layout in zip(paths, p.label, p.layout):
-                    layouts.setdefault(path, []).append(" ".join(layout))
-                    labels[path] = number(label)
-                row = (
-                    _host(url),
-                    _number("\n".join(t for _, t, dropped, _ in p.texts if not dropped)),
-                    p.parent,
-                    paths,
-                    p.named,
-                    [(path, labels[path], number("|".join(x))) for path, x in layouts.items()],
-                    sorted({(paths[n], t) for n, t, *_ in texts}),
-                    texts,
-                )
-                for c, v in zip(columns, row):
-                    c.append(v)
-            columns = [[[dict(zip(("path", "label", "layout"), n)) for n in r] for r in c] if i == 5 else [[dict(zip(("path", "text"), n)) for n in r] for r in c] if i == 6 else [[dict(zip(("node", "feature", "dropped", "content", "text"), n)) for n in r] for r in c] if i == 7 else c for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row", "page_id", "url", "host", "page", "parents", "node_paths", "named", "nodes", "features", "texts"])
-
-    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(parse, PARSED)
-
-
-def style_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+                    layouts.setdefault(path, (label, []))[1].append(" ".join(layout))
+                host = _host(url)
+                columns[0].append(None if host is None else _number(host))
+                columns[1].append(_number("\n".join(t for _, t, dropped, _ in p.texts if not dropped)))
+                columns[2].append([{"path": path, "label": number(label), "layout": number("|".join(x))} for path, (label, x) in layouts.items()])
+                columns[3].append([{"path": path, "text": t} for path, t in sorted(set(features))])
+            types = (pa.int64(), pa.int64(), pa.list_(node), pa.list_(feature))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["key", "host", "page", "nodes", "features"])
+
+    return pages.select("key", "url", "html").mapInArrow(parse, TREES).filter("host is not null").dropDuplicates(["key"])
+
+
+def style_tree(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each host and path: layout importance, number of layouts and importance of its texts; and the texts (host, path,
-    text) that are part of the site."""
-    known = trees.filter("host is not null")
-    each = known.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*").distinct()
-    layouts = each.groupBy("host", "path", "label", "layout").agg(F.count("*").alias("k"))
+    text) that are part of the site. Copies of a page count once."""
+    once = known.dropDuplicates(["host", "page"])
+    layouts = once.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.path", "n.label", "n.layout").agg(F.count("*").alias("k"))
     k, m = F.col("k"), F.col("m")
     nodes = layouts.groupBy("host", "path", "label").agg(F.sum("k").alias("m"), F.count("*").alias("styles"), F.sum(k * F.log(k)).alias("s"))
     nodes = nodes.withColumn("layout", F.when(m == 1, F.lit(1.0)).otherwise((F.log(m) - F.col("s") / m) / F.log(m + 2)))
-    held = known.select("host", "page", F.explode("features").alias("f")).select("host", "page", "f.*").distinct()
-    texts = held.groupBy("host", "path", "text").agg(F.count("*").alias("k"))
+    texts = once.select("host", F.explode("features").alias("f")).groupBy("host", "f.path", "f.text").agg(F.count("*").alias("k"))
     means = texts.groupBy("host", "path").agg((F.sum(F.log(k)) / F.count("*")).alias("mean"))
     nodes = nodes.join(means, ["host", "path"], "left").withColumn("texts", 1 - F.col("mean") / F.log(m + 2))
     # what nodes of a label have on all hosts; a single page tells nothing
@@ -264,37 +261,38 @@ def style_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stats, shared.select("host", "path", "text")
 
 
-def keep_texts(parents: list[int], paths: list[int], named: list[bool], texts: list[dict], stats: dict[int, tuple], shared: set) -> list[dict]:
-    """The texts of a page that stay. ``stats`` has (styles, layout, texts) of paths, ``shared`` the site's (path, text)."""
-    n = len(parents)
+def keep_texts(page: Page, paths: list, features: list, stats: dict, shared: set) -> list[str]:
+    """The texts of a page that stay. ``stats`` has (styles, layout, texts) of paths, ``shared`` the site's features."""
+    n = len(paths)
     total, count = [0.0] * n, [0] * n
     strong = [False] * n  # whether a node or any below is of importance
-    for node in {t["node"] for t in texts}:
-        total[node] += stats.get(paths[node], (1, 1.0, 1.0))[2]
-        count[node] += 1
+    for node in {t[0] for t in page.texts}:
+        own = stats.get(paths[node], (1, 1.0, 1.0))[2]
+        total[node], count[node] = own, 1
+        strong[node] = own * (PRIOR if page.named[node] else 1.0) >= LEAST
     for node in range(n - 1, -1, -1):  # children come after their parents
         if not count[node]:
             continue
         styles, layout, _ = stats.get(paths[node], (1, 1.0, 1.0))
-        share = DECAY**styles
+        share = 1.0 if set(page.layout[node]) == {"#"} else DECAY**styles  # a node of texts alone has their importance
         importance = (1 - share) * layout + share * total[node] / count[node]
-        strong[node] = not named[node] and strong[node] or importance * (PRIOR if named[node] else 1.0) >= LEAST
+        strong[node] = not page.named[node] and strong[node] or importance * (PRIOR if page.named[node] else 1.0) >= LEAST
         if node:
-            total[parents[node]] += importance
-            count[parents[node]] += 1
-            strong[parents[node]] |= strong[node]
+            up = page.parent[node]
+            total[up] += importance
+            count[up] += 1
+            strong[up] |= strong[node]
     stay = [True] * n
     for node in range(1, n):
-        stay[node] = strong[node] and stay[parents[node]]
-    rest = [t for t in texts if not t["dropped"] and stay[t["node"]] and (paths[t["node"]], t["feature"]) not in shared]
-    return [t for t in rest if t["content"]] if any(t["content"] for t in rest) else rest
+        stay[node] = strong[node] and stay[page.parent[node]]
+    rest = [(t, content) for (node, t, dropped, content), f in zip(page.texts, features) if not dropped and stay[node] and f not in shared]
+    return [t for t, content in rest if content or not any(c for _, c in rest)] if rest else []
 
 
 def main_text(page: str) -> str:
     """The main text of a page by itself."""
     p = Page(page)
-    texts = [{"node": n, "feature": 0, "dropped": dropped, "content": content, "text": t} for n, t, dropped, content in p.texts]
-    return " ".join(t["text"] for t in keep_texts(p.parent, p.path, p.named, texts, {}, set()))
+    return " ".join(keep_texts(p, p.path, [None] * len(p.texts), {}, set()))
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -302,22 +300,31 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    trees = materialise(parsed(pages), "pages")
-    stats, shared = style_tree(trees)
-    own = trees.filter("host is not null")
-    met = own.select("row", "host", F.explode("nodes.path").alias("path")).join(stats, ["host", "path"]).groupBy("row").agg(F.collect_list(F.struct("path", "styles", "layout", "texts")).alias("stats"))
-    hit = own.select("row", "host", F.explode("features").alias("f")).select("row", "host", "f.*").join(shared, ["host", "path", "text"]).groupBy("row").agg(F.collect_list(F.struct("path", "text")).alias("shared"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    own = own.withColumn("key", F.xxhash64("url", "html"))
+    known = materialise(trees(own), "trees")
+    stats, shared = style_tree(known)
+    stats = materialise(stats, "style-tree")
+    # a text goes only with a node whose texts are of low importance, so only pages with such a node need to know more
+    weak = stats.filter(F.col("texts") < LEAST).select("host", "path")
+    features = known.select("key", "host", F.explode("features").alias("f")).select("key", "host", "f.*")
+    asking = features.join(weak, ["host", "path"], "left_semi").select("key").distinct()
+    met = known.join(asking, "key", "left_semi").select("key", "host", F.explode("nodes.path").alias("path")).join(stats, ["host", "path"])
+    met = met.groupBy("key").agg(F.collect_list(F.struct("path", "styles", "layout", "texts")).alias("stats"))
+    hit = features.join(shared, ["host", "path", "text"]).groupBy("key").agg(F.collect_list(F.struct("path", "text")).alias("shared"))
+    notes = materialise(met.join(hit, "key", "full"), "notes")
 
     def cut(batches):
         import pyarrow as pa
 
+        number = _remembering()
         for batch in batches:
             found = []
-            for parents, paths, named, texts, stats, shared in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+            for html, stats, shared in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+                p = Page(html or "")
+                paths, features = _numbered(p, number) if stats or shared else (p.path, [None] * len(p.texts))
                 known = {x["path"]: (x["styles"], x["layout"], 1.0 if x["texts"] is None else x["texts"]) for x in stats or ()}
-                kept = keep_texts(parents, paths, named, texts, known, {(x["path"], x["text"]) for x in shared or ()})
-                found.append(" ".join(t["text"] for t in kept))
+                found.append(" ".join(keep_texts(p, paths, features, known, {(x["path"], x["text"]) for x in shared or ()})))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = trees.join(met, "row", "left").join(hit, "row", "left")
-    return joined.select("page_id", "url", "parents", "node_paths", "named", "texts", "stats", "shared").mapInArrow(cut, EXTRACTED)
+    return own.join(notes, "key", "left").select("page_id", "url", "html", "stats", "shared").mapInArrow(cut, EXTRACTED)

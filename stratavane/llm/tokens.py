@@ -28,8 +28,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.most, self.longest = most, longest  # of the cache: pieces, and characters of a piece
         self.cache: dict[str, bytes] = {}
         self.byte_level = self.tok.normalizer is None
@@ -68,7 +67,7 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.added.search(text):
+        if any(t in text for t in self.added):
             return self._ids(text).tobytes()
         if self.byte_level or _SEPARATORS.search(text):
             pieces = self.pattern.findall(text)

@@ -98,8 +98,7 @@ def brute(rows):
                     own[c] = (m * own[c] + pages.LEAN * wide) / (m + pages.LEAN)
             stats[path] = styles, own[0], 1.0 if own[1] is None else own[1]
             shared |= {(path, t) for t, k in texts[host(u), path].items() if k > 1 and math.log(k) / math.log(m + 2) >= pages.ENTROPY}
-        rest = [{"node": n, "feature": t, "dropped": d, "content": c, "text": t} for n, t, d, c in p.texts]
-        out.append((i, " ".join(t["text"] for t in pages.keep_texts(p.parent, p.path, p.named, rest, stats, shared))))
+        out.append((i, " ".join(pages.keep_texts(p, p.path, [(p.path[n], t) for n, t, *_ in p.texts], stats, shared))))
     return sorted(out, key=str)
 
 

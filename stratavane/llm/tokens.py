@@ -23,7 +23,7 @@ class PieceEncoder:
     pattern runs from a non-space character over white space into the next piece. A text that holds an added token
     (such as <|endoftext|>) is encoded at once."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 12):
+    def __init__(self, path: str, most: int = 1_200_000, longest: int = 12):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

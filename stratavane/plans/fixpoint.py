@@ -165,6 +165,8 @@ class Evaluator:
             few = n <= self.options.broadcast_rows
             got = self._write((difference_two_phase if few else difference)(candidates, state.full), name)
             drop_path(self.spark, path)
+        elif state.count <= self.options.two_phase_rows:  # the overlap decides nothing
+            return self._write(difference(found, state.full), name)
         else:
             seen = Observation()
             got = self._write(difference(found.observe(seen, F.count(F.lit(1)).alias("n")), state.full), name)

@@ -34,9 +34,9 @@ DECLARED = {
 }
 
 # Graphs over all rows of ``lineitem``: an order's lines lead to it from earlier orders of its batch of 32
-# orders (of 16 for the pointer relations), so closures are linear in the input and components are bounded.
+# orders (of 8 for the pointer relations), so closures are linear in the input and components are bounded.
 _FROM = "l_orderkey - l_orderkey % 32 + floor((l_orderkey % 32) * (l_partkey % 32) / 32)"
-_POINTER = "SELECT DISTINCT CAST(l_orderkey AS INT) AS x, CAST(l_orderkey - l_orderkey % 16 + l_partkey % 16 AS INT) AS y FROM lineitem WHERE (l_linenumber + 4) % 5 + 1 = {}"
+_POINTER = "SELECT DISTINCT CAST(l_orderkey AS INT) AS x, CAST(l_orderkey - l_orderkey % 8 + l_partkey % 8 AS INT) AS y FROM lineitem WHERE (l_linenumber + 4) % 5 + 1 = {}"
 #: The same text is right in Spark SQL and DuckDB.
 TABLES = {
     "Ord": "SELECT CAST(o_orderkey AS INT) AS o, CAST(o_custkey AS INT) AS c FROM orders",

@@ -6,14 +6,16 @@ trees; ``pair_pruning`` applies the latter to each rule of a union by itself, wh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import SPARK_TYPES, column
 from ..operators import union_all
-from ..plans.analysis import stratify
+from ..plans.analysis import stratify, variable_types
 from ..plans.ast import Atom, Const, Program, Relation, Rule, Var, Wild, variables
-from .attack import NotRewritable, Query, attack_graph, atom_order, to_dot
+from .attack import NotRewritable, Query, attack_graph, atom_order, parts, to_dot
 from .certain import by_attack_graph
 from .joins import by_join_graph, join_graph
 
@@ -55,7 +57,28 @@ def certain_answers(program: Program, tables: dict[str, DataFrame], method: str
     if len(queries) > 1 and method != "pair_pruning":
         raise NotRewritable("the query has several rules")
     solve = by_attack_graph if method == "attack_graph" else by_join_graph
-    return union_all([_head(program, q.rule, solve(program, q, tables)) for q in queries]).distinct()
+    found = [_head(program, q.rule, _product([(p, solve(program, p, tables)) for p in parts(q)])) for q in queries]
+    if len(found) == 1 and _keeps(program, queries[0]):
+        return found[0]
+    return union_all(found).distinct()
+
+
+def _product(answers: list[tuple[Query, DataFrame]]) -> DataFrame:
+    """All combinations of the parts' answers, distinct as these are; none is shuffled or stored. A part without head
+    variables only says whether there are any."""
+    given = [df for q, df in answers if q.free]
+    asked = [df.limit(1) for q, df in answers if not q.free]
+    first = given.pop(0) if given else asked.pop(0)
+    for df in asked:
+        first = first.join(F.broadcast(df.select(F.lit(1).alias("__any"))), F.lit(True), "left_semi")  # one row
+    return reduce(DataFrame.crossJoin, [first, *given])
+
+
+def _keeps(program: Program, query: Query) -> bool:
+    """Whether distinct answers stay distinct in the head's types."""
+    head, types = program.relations[query.rule.head.relation], variable_types(program, query.rule)
+    kept = {x.name for x, a in zip(query.rule.head.args, head.attributes) if isinstance(x, Var) and types[x.name] == a.type}
+    return set(query.free) <= kept
 
 
 def _head(program: Program, rule: Rule, answers: DataFrame) -> DataFrame:

@@ -90,3 +90,15 @@ def test_attack_graph_as_text():
     q = queries_of(parse(text("Q()", "Q() :- R(x, y), S(y, z).")))[0]
     assert attack_graph(q) == {"R": {"S"}, "S": set()}
     assert '"R" -> "S"' in to_dot(attack_graph(q))
+
+
+@pytest.mark.parametrize("method", ["attack_graph", "join_graph"])
+def test_products_come_last(spark, method):
+    """Parts that no variable connects are answered apart; nothing groups, joins or stores their combinations."""
+    program = parse(text("Q(x int, z int)", "Q(x, z) :- R(x, y), S(y, _), T(z, 2)."))
+    tables = {"R": {(1, 1), (2, 1), (2, 5), (3, 1)}, "S": {(1, 4)}, "T": {(6, 2), (7, 2), (7, 3), (8, 2)}}
+    got = Engine(spark).certain(program, frames(spark, tables), method)
+    assert {tuple(r) for r in got.collect()} == truth(program, tables) == {(x, z) for x in (1, 3) for z in (6, 8)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    product = next(i for i, line in enumerate(plan) if "Join Cross" in line or "Join Inner" in line and "=" not in line)
+    assert not [line for line in plan[:product] if "Aggregate" in line or "Join" in line]

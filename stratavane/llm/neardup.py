@@ -6,13 +6,15 @@ with a lower variance than minima alone. Bands of ``ROWS`` values make candidate
 none of the 25 bands with a probability of 4e-7. Every link is confirmed on the full shingle sets.
 
 Documents of equal sets form a class, which goes on as one node. Within a band's bucket no pairs are spelled out: members are
-compared with a hub first, the member of most and largest buckets. What stays split goes on by differences from the hub h: the shingles that a member has beyond h, and those of h that it lacks. If similar means an intersection of at least
-s * (sum of the sizes), then the differences of similar sets u and v share s * (|u| + |v|) - |h| + lacks(u) + lacks(v) elements
-or more, which is over (1 - s) * lacks(v) + s * has(v) > 0 where u isn't similar to h. So they meet in the first few elements of
-their differences, in one order of all elements (those that h lacks first, by hash): in all but that many less one. A bucket is
-replaced by one for each hub and such element, and only those with a member that isn't similar to the hub go on. Near copies
-differ from a hub by few elements, and share fewer, so what meets again is little, and is compared, across components only; so
-are buckets of at most ``SMALL`` members at once. Nothing is capped.
+compared with a hub first, the member of most and largest buckets. What stays split goes on by differences from the hub h: the
+shingles that a member has beyond h, and those of h that it lacks. Sets u and v are similar if their intersection is at least
+s * (|u| + |v|); then their differences share R = s * (|u| + |v|) - |h| + lacks(u) + lacks(v) elements or more. Where u isn't
+similar to h, R is over (1 - s) * lacks(v) + s * has(v), and at least (s * (|u| + |h|) - |u and h|) / (1 - s), both over 0. Pairs
+that are both similar to h are linked through it. So in one order of all differences from h two such sets first meet where
+each has R elements left. The order is from rare to common, counted over all members: what only one member has comes first
+and meets nothing, and the edits that many members share come last, where few elements are left. Members that meet are
+compared if they are of different components and R elements are left from there to both ends; buckets of at most ``SMALL``
+members are compared at once. Nothing is capped.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; texts under
 ``SHINGLE_WORDS`` words have one shingle; rows with one doc_id are one document, linked with what any of them is linked
@@ -21,7 +23,7 @@ with; rows with a null doc_id are linked with nothing and kept; an empty table g
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, _MULT, batches_of_text, discard, distinct, hash_ranges, materialise, mix64, word_ranges
@@ -138,49 +140,68 @@ def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return got.select(F.xxhash64("k1", "k2").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _early_differences(a: np.ndarray, b: np.ndarray, hub: int, threshold: int, deep: bool) -> tuple[bool, np.ndarray]:
-    """Whether the sets are similar, and, where ``deep``, keys of the first elements of a's difference from the hub's set b."""
+def _differences(a: np.ndarray, b: np.ndarray, hub: int, threshold: int, deep: bool) -> tuple[bool, int, np.ndarray]:
+    """Whether the sets are similar, how many of the hub's set b are not in a, and, where ``deep``, keys of all differences."""
     shared = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
     common = int(shared.sum())
-    has, lacks, both = len(a) - common, len(b) - common, len(a) + len(b)
-    linked = common > 0 and 100 * common >= threshold * (both - common)
+    linked = common > 0 and 100 * common >= threshold * (len(a) + len(b) - common)
     if not deep:
-        return linked, a[:0]
-    least = (100 * lacks + threshold * has) // (100 + threshold) + 1
-    if not linked:
-        least = max(least, -(-(threshold * both - (100 + threshold) * common) // 100))
-    first = max(has + lacks - least + 1, 0)
-    own = a[~shared][:first]
+        return linked, len(b) - common, a[:0]
+    missing = np.ones(len(b), bool)
+    missing[np.searchsorted(b, a[shared])] = False
     salt = np.array([hub], np.int64).view(np.uint64) * _MULT
-    keys = mix64(own ^ salt)
-    if first > has:
-        missing = np.ones(len(b), bool)
-        missing[np.searchsorted(b, a[shared])] = False
-        keys = np.concatenate([keys, mix64(~b[missing][: first - has] ^ salt)])
-    return linked, keys
+    return linked, len(b) - common, np.concatenate([mix64(a[~shared] ^ salt), mix64(~b[missing] ^ salt)])
 
 
 def compare(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """u, v, whether their full sets are similar, and, where ``deep``, keys of u's first differences from v."""
+    """u, v, whether their full sets are similar, these sets' sizes, how many of v's elements u lacks, and, where ``deep``, keys
+    of u's differences from v."""
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            linked, keys = [], []
+            rows = []
             with np.errstate(over="ignore"):
                 for v, deep, a, b in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                    one, early = _early_differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), v, threshold, deep)
-                    linked.append(one)
-                    keys.append(early.view(np.int64))
+                    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                    linked, lacks, keys = _differences(a, b, v, threshold, deep)
+                    rows.append((linked, len(a), len(b), lacks, keys.view(np.int64)))
+            linked, n, n_v, lacks, keys = zip(*rows) if rows else [()] * 5
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["u", "v", "linked", "keys"])
+            numbers = [pa.array(c, pa.int64()) for c in (n, n_v, lacks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *numbers, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["u", "v", "linked", "n", "n_v", "lacks", "keys"])
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     met = pairs.join(left, "u").join(right, "v").select("u", "v", "deep", "set_u", "set_v")
-    return met.mapInArrow(check, "u long, v long, linked boolean, keys array<long>")
+    return met.mapInArrow(check, "u long, v long, linked boolean, n long, n_v long, lacks long, keys array<long>")
+
+
+def meetings(checked: DataFrame, comps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Distinct pairs (u, v) of different components among which are all similar ones that were compared with one hub, by the
+    differences in ``checked`` (see ``compare``)."""
+    t = threshold
+    has = F.size("keys") - F.col("lacks")
+    own = F.floor((100 * F.col("lacks") + t * has) / (100 + t)) + 1
+    far = F.ceil((t * (F.col("n") + F.col("n_v")) - (100 + t) * (F.col("n_v") - F.col("lacks"))) / 100)
+    far = F.when(F.col("linked"), own).otherwise(F.greatest(far, F.lit(1)))
+    # ``far`` elements are shared with any, ``near`` where the other one isn't similar to the hub either
+    each = checked.select(F.col("u").alias("node"), F.col("v").alias("hub"), "linked", "n", "n_v", "lacks", far.alias("far"), F.greatest(own, far).alias("near"), F.explode("keys").alias("bucket"))
+    going = each.groupBy("bucket").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("some")).filter("c > 1 and some").select("bucket", "c")
+    # elements from this one to the end; those that aren't going come before
+    order = Window.partitionBy("node", "hub").orderBy(F.desc("c"), F.desc("bucket"))
+    first = each.join(going, "bucket").withColumn("left", F.row_number().over(order)).filter("left >= far")
+    first = first.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("hub", "far", "c", "component")
+    split = first.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(~F.col("linked")).alias("some")).filter("lo < hi and some").select("bucket")
+    first = materialise(first.join(split, "bucket"), "differences")
+    other = first.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("node", "linked", "n", "lacks", "near", "left", "comp")))
+    enough = f"{100 + t} * least(left, left_2) >= {t} * (n + n_2) - {100 + t} * (n_v - lacks - lacks_2)"
+    met = first.join(other, "bucket").filter("comp < comp_2 and not (linked and linked_2)").filter("(linked_2 or left >= near) and (linked or left_2 >= near_2)").filter(enough)
+    out = materialise(met.select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct(), "meetings")
+    discard(first)
+    return out
 
 
 def _one_of_equals(member: DataFrame) -> DataFrame:
@@ -203,33 +224,23 @@ def links(member: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, small:
     # first each node against one hub: that of most of its buckets
     votes = _with_hub(member).filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
-    checked = materialise(compare(best.select(F.col("node").alias("u"), F.col("hub").alias("v"), F.lit(False).alias("deep")), sets, threshold), "checked")
+    shallow, deep = F.lit(False).alias("deep"), F.lit(True).alias("deep")
+    checked = materialise(compare(best.select(F.col("node").alias("u"), F.col("hub").alias("v"), shallow), sets, threshold), "checked")
     found = checked.filter("linked").select("u", "v")
-    turn = 0
-    while True:
-        comps = connected_components(found)
-        placed = member.join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("comp"))
-        split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        open_ = materialise(placed.join(split, "bucket"), "open")
-        if open_.isEmpty():
-            discard(open_, member if turn else None)
-            return found
-        near = open_ if turn else open_.filter(F.col("size") <= small)
-        other = near.select("bucket", F.col("node").alias("v"), F.col("comp").alias("comp_v"))
-        pairs = near.join(other, "bucket").filter("comp < comp_v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), F.lit(False).alias("deep"))
-        if not turn:
-            pairs = pairs.unionByName(_with_hub(open_.filter(F.col("size") > small)).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), F.lit(True).alias("deep")))
-        checked = materialise(compare(pairs.distinct(), sets, threshold), "checked")
-        found = found.unionByName(checked.filter("linked").select("u", "v"))
-        if turn:
-            discard(open_, member)
-            return found
-        # the next buckets: a hub and an element of differences from it
-        spread = checked.select(F.col("u").alias("node"), "linked", F.explode("keys").alias("bucket"))
-        going = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.max(~F.col("linked")).alias("some")).filter("c > 1 and some").select("bucket")
-        member = materialise(_one_of_equals(spread.join(going, "bucket").select("bucket", "node")), "buckets")
-        discard(open_)
-        turn += 1
+    placed = member.join(connected_components(found), "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("comp"))
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    open_ = materialise(placed.join(split, "bucket"), "open")
+    # what stays split: small buckets pair by pair, others against a hub again, with all differences
+    near = open_.filter(F.col("size") <= small)
+    other = near.select("bucket", F.col("node").alias("v"), F.col("comp").alias("comp_v"))
+    pairs = near.join(other, "bucket").filter("comp < comp_v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), shallow)
+    hubs = _with_hub(open_.filter(F.col("size") > small)).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"), deep)
+    checked = materialise(compare(pairs.unionByName(hubs).distinct(), sets, threshold), "checked")
+    found = found.unionByName(checked.filter("linked").select("u", "v"))
+    met = meetings(checked, connected_components(found), threshold)
+    last = materialise(compare(met.withColumn("deep", F.lit(False)), sets, threshold), "checked")
+    discard(open_, met)
+    return found.unionByName(last.filter("linked").select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

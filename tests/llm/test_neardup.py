@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import AWKWARD, corpus, table, words
 
@@ -52,6 +53,44 @@ def test_a_large_group_whose_members_differ_from_their_hub(spark):
     assert got(neardup.near_duplicates(table(spark, rows))) == brute(rows)
 
 
+def in_one_bucket(spark, sets):
+    member = spark.createDataFrame([(1, node, len(sets)) for node in sets], "bucket long, node long, size long")
+    return member, spark.createDataFrame([(node, bytearray(s.tobytes())) for node, s in sets.items()], "node long, shingles binary")
+
+
+def test_links_between_a_copy_of_the_hub_and_what_is_just_not_similar_to_it(spark):
+    rng = np.random.default_rng(4)
+    hub = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
+    sets = {10**6: hub}
+    for k in range(30):  # the second of each pair lacks what the first lacks and more, and is similar to it alone
+        gone = rng.permutation(len(hub))[:151]
+        sets[2 * k], sets[2 * k + 1] = np.delete(hub, gone[:5]), np.delete(hub, gone)
+    found = neardup.links(*in_one_bucket(spark, sets))
+    linked = {frozenset((r["u"], r["v"])) for r in found.collect()}
+    assert all({2 * k, 2 * k + 1} in linked for k in range(30))
+
+
+def test_members_that_share_edits_without_being_similar_are_not_compared_with_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    variants = rng.integers(0, 2**63, (400, 4), dtype=np.uint64)
+    sets = {}
+    for node in range(300):  # 50 elements of its own and some edits that others have too
+        own, places = base.copy(), rng.permutation(400)
+        own[places[:50]] = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        own[places[50:60]] = variants[places[50:60], rng.integers(0, 4, 10)]
+        sets[node] = np.unique(own)
+    compared, compare = [], neardup.compare
+
+    def counting(pairs, *args):
+        compared.append(pairs.count())
+        return compare(pairs, *args)
+
+    monkeypatch.setattr(neardup, "compare", counting)
+    assert neardup.links(*in_one_bucket(spark, sets)).filter("u <> v").count() == 0
+    assert sum(compared) < 5 * len(sets)
+
+
 def test_one_id_for_two_texts_ties_their_groups(spark):
     rng = random.Random(3)
     a, b = words(rng, 50), words(rng, 50)

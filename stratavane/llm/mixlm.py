@@ -11,10 +11,11 @@ input and are kept in a table that is partitioned by context hash; no task holds
 asks for the contexts that it has, each once, and gets a state for each bit. Contexts are exact. Beside this stands the exact
 unigram score over the words, by 64-bit hashes, from counts that go the same way.
 
-States' logits, weights and map are learned from one in ``MIXER_SHARE`` training documents, whose own counts are taken off
-while they are (so that they are met as new text is); scores are by the counts of all. Logits are from sums over all of these
-documents. Weights and map are learned online, bit position by bit position in batches of ``BATCH`` bytes, by each block from
-its part of these documents, and averaged by bytes. Only these 60 kB, and totals, pass the driver.
+States' logits, weights and map are learned from all training documents. A block's documents are met as new text is: by the
+counts of all others, its own taken off; scores are by the counts of all. There are ``FEWEST_BLOCKS`` blocks or more, so that
+little is taken off. Logits are from sums over all blocks. Weights and map are learned by each block, bit position by bit
+position in batches of ``BATCH`` distinct events (a context and its byte), in mixed order, each with the weight of how often it
+occurs, and averaged by bytes. Only these 60 kB, and totals, pass the driver.
 
 Defined results: null texts are empty, have the end only, and score as that; rows with a null doc_id are scored, not learned
 from and not held out; rows of one doc_id, equal or not, each count; texts of any length are taken whole, in slices between
@@ -27,16 +28,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, batches_of_text, hash_ranges, materialise, mix64
+from .common import _LOWER, _SPACE, batches_of_text, discard, hash_ranges, materialise, mix64, release
 from .quality import fold
 
 #: Bytes of each context.
 BYTES = (2, 3, 4, 5)
 KINDS = len(BYTES)
 _LONG, _TOKEN = KINDS - 1, KINDS  # kinds of keys: contexts by number, then whole words
-MIXER_SHARE = 32
 BLOCK_BYTES = 12 << 20
-BATCH = 2048
+FEWEST_BLOCKS = 16
+BATCH = 8192
 RATE = 0.02
 MAP_RATE = 0.02
 _SLICE = 1 << 20
@@ -99,17 +100,30 @@ def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed by entropy too, which shuffles aren't; the length comes first."""
+    import pyarrow as pa
+
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def loosened(raw: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def packed(values: np.ndarray) -> bytes:
     """64-bit numbers byte by byte, all highest bytes first and so on, which compresses well."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeezed(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(loosened(raw), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 class Tally:
-    """The distinct keys of texts, and how often they occur in all (``met``) and in the mixer's (``held``)."""
+    """The distinct keys of texts, and how often they occur in all (``met``) and in some of these (``held``)."""
 
     def __init__(self):
         self.parts: dict[int, list] = {_LONG: [], _TOKEN: []}
@@ -185,6 +199,16 @@ class Events:
     def kinds(self):
         """(kind, keys) of all kinds, as a ``Tally`` has them."""
         yield _TOKEN, self.tokens
+        yield from Asked(self.keys).kinds()
+
+
+class Asked:
+    """The distinct events of a block without its texts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def kinds(self):
         keys = self.keys
         for kind in range(_LONG, -1, -1):
             keys = counted(keys & _MASKS[kind])[0]
@@ -291,18 +315,19 @@ class Mixer:
             product *= np.where(bit == 1, p, 1 - p)
         return -np.log2(product)
 
-    def learn(self, state: list[np.ndarray], byte: np.ndarray) -> None:
-        """One update after each bit position of the batch."""
+    def learn(self, state: list[np.ndarray], byte: np.ndarray, times: np.ndarray | None = None) -> None:
+        """One update after each bit position of the batch; ``times``: how often each event occurs."""
+        times = np.ones(len(byte)) if times is None else times
         for k, known, bit in self._bits(byte):
             gate, logit, plain, refined, cell, part = self._predict(known, [s[:, k] for s in state])
-            wrong = bit - plain
+            wrong = (bit - plain) * times
             for o, x in enumerate(logit):
                 step = np.bincount(gate, weights=wrong * x, minlength=_GATES)
                 self.seen[o] += step * step
                 self.weights[o] += RATE * step / np.sqrt(self.seen[o])
-            miss = bit - refined
-            hits = np.bincount(cell, weights=1 - part, minlength=256 * _MAP) + np.bincount(cell + 1, weights=part, minlength=256 * _MAP)
-            gap = np.bincount(cell, weights=miss * (1 - part), minlength=256 * _MAP) + np.bincount(cell + 1, weights=miss * part, minlength=256 * _MAP)
+            miss, high, low = bit - refined, times * part, times * (1 - part)
+            hits = np.bincount(cell, weights=low, minlength=256 * _MAP) + np.bincount(cell + 1, weights=high, minlength=256 * _MAP)
+            gap = np.bincount(cell, weights=miss * low, minlength=256 * _MAP) + np.bincount(cell + 1, weights=miss * high, minlength=256 * _MAP)
             self.map += gap / np.maximum(hits, 1e-9) * (1 - (1 - MAP_RATE) ** hits)
             np.clip(self.map, 1e-4, 1 - 1e-4, out=self.map)
 
@@ -310,9 +335,11 @@ class Mixer:
 class Known:
     """The distinct events of a block's texts and what was answered about their contexts."""
 
-    def __init__(self, met: Events, answers: dict[int, np.ndarray], buckets: int):
+    def __init__(self, met: Events | Asked, answers: dict[int, np.ndarray], buckets: int):
         self.keys, self.state, self.met = {}, {}, met
         for kind, keys in met.kinds():
+            if kind not in answers:
+                continue
             order = np.argsort(bucket_of(kind, keys, buckets), kind="stable")
             got = answers[kind]
             if len(got) != len(keys):
@@ -358,17 +385,17 @@ def _asked(tally: Tally, buckets: int, block: int, counts: bool):
         some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
         for i in range(0, len(some), 16):
             own = [order[cut[b] : cut[b + 1]] for b in some[i : i + 16]]
-            sent = ([packed(met[x]) for x in own], [packed(held[x]) if held.any() else b"" for x in own]) if counts else [[b""] * len(own)] * 2
+            sent = ([packed(met[x]) if counts else b"" for x in own], [packed(held[x]) if held.any() else b"" for x in own])
             columns = (some[i : i + 16], [block] * len(own), [kind] * len(own), [packed(keys[x]) for x in own], *sent)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "block", "kind", "keys", "met", "held"])
 
 
-TABLE = "bucket int, kind int, keys binary, met binary, held binary, total long, n long, sums binary"
+TABLE = "bucket int, kind int, keys binary, met binary, held binary, total long, n long"
 
 
 def count_corpus(train: DataFrame, buckets: int) -> DataFrame:
-    """The table of counts: of each bucket and kind its keys, how often they occur in training documents and in those for the
-    mixer, the sum and number of these, and what followed each state in the latter's texts."""
+    """The table of counts: of each bucket and kind its keys, how often they occur in training documents and in those marked
+    ``for_mixer``, and the sum and number of the former."""
 
     def count(batches):
         tally = Tally()
@@ -391,68 +418,95 @@ def count_corpus(train: DataFrame, buckets: int) -> DataFrame:
             keys = [unpacked(x) for x in own["keys"].to_pylist()]
             held = [unpacked(x).astype(np.int64) if x else np.zeros(len(k), np.int64) for x, k in zip(own["held"].to_pylist(), keys)]
             keys, met, held = added(np.concatenate(keys), np.concatenate([unpacked(x).astype(np.int64) for x in own["met"].to_pylist()]), np.concatenate(held))
-            sums = np.zeros((2, 256))
-            if kind != _TOKEN and held.any():
-                for n, ones, one in bit_counts(keys, met - held):
-                    x = states(n, ones)
-                    sums[0] += np.bincount(x, weights=held, minlength=256)
-                    sums[1] += np.bincount(x, weights=held * one, minlength=256)
-            rows.append((table["bucket"][0].as_py(), kind, packed(keys), packed(met), packed(held), int(met.sum()), len(keys), sums.tobytes()))
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "kind", "keys", "met", "held", "total", "n", "sums"])
+            rows.append((table["bucket"][0].as_py(), kind, packed(keys), packed(met), packed(held), int(met.sum()), len(keys)))
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "kind", "keys", "met", "held", "total", "n"])
 
     parts = train.select("text", "for_mixer").mapInArrow(count, ASKED)
     return parts.groupBy("bucket").applyInArrow(merge, TABLE)
 
 
-def answered(docs: DataFrame, table: DataFrame, buckets: int, held: bool) -> DataFrame:
-    """Of each block of ``docs`` (block, text), kind and bucket: the states (for words: the counts) of the keys asked for,
-    by all counts or by those without the mixer's documents."""
+ANSWERS = "block int, bucket int, kind int, states binary, learned binary, keys binary, held binary, sums binary"
+
+
+def answered(docs: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """Of each block of ``docs`` (block, text, train), kind and bucket: the states (for words: the counts) of the keys asked for
+    by all counts, and by those without the block's training documents; with the longest contexts these keys and how often they
+    occur in the latter. In a row without a block, for each bucket and kind: how often each of the latter states was met in
+    training documents, and how often a one followed."""
 
     def ask(group):
         import pyarrow as pa
 
         tally = Tally()
-        for _, _, data, off in batches_of_text(group["text"], _SLICE):
-            tally.add(data, off)
+        train = np.asarray(group["train"])
+        for i, j, data, off in batches_of_text(group["text"], _SLICE):
+            tally.add(data, off, train[i:j])
         return pa.Table.from_batches(list(_asked(tally, buckets, group["block"][0].as_py(), False)))
 
     def answer(asks, counts):
         import pyarrow as pa
 
-        have = {k: (unpacked(a), unpacked(b).astype(np.int64), unpacked(c).astype(np.int64)) for k, a, b, c in zip(*(counts[x].to_pylist() for x in ("kind", "keys", "met", "held")))}
+        have = {k: (unpacked(a), unpacked(b).astype(np.int64)) for k, a, b in zip(*(counts[x].to_pylist() for x in ("kind", "keys", "met")))}
         kinds = np.asarray(asks["kind"])
         out: list[tuple] = []
         for kind in np.unique(kinds).tolist():
             own = asks.filter(pa.array(kinds == kind))
             wanted = [unpacked(x) for x in own["keys"].to_pylist()]
-            keys, met, part = have.get(kind, (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2))
-            if held:
-                met = met - part
+            keys, met = have.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             every, number = added(np.concatenate([keys, *wanted]), np.concatenate([met, np.zeros(sum(map(len, wanted)), np.int64)]))
-            state = None if kind == _TOKEN else bit_states(every, number)
-            for block, bucket, w in zip(own["block"].to_pylist(), own["bucket"].to_pylist(), wanted):
-                at = np.searchsorted(every, w)
-                out.append((block, bucket, kind, packed(number[at]) if state is None else np.ascontiguousarray(state[at].T).tobytes()))
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "kind", "states"])
-
-    asks = docs.groupBy("block").applyInArrow(ask, ASKED).select("bucket", "block", "kind", "keys")
-    counts = table.select("bucket", "kind", "keys", "met", "held")
-    return asks.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, kind int, states binary")
-
-
-def _known(texts, answers, buckets: int) -> Known:
+            places = [np.searchsorted(every, w) for w in wanted]
+            rows = list(zip(own["block"].to_pylist(), own["bucket"].to_pylist(), own["held"].to_pylist()))
+            if kind == _TOKEN:
+                out += [(block, bucket, kind, packed(number[at]), *[None] * 4) for at, (block, bucket, _) in zip(places, rows)]
+                continue
+            held = [unpacked(h).astype(np.int64) if h else np.zeros(len(at), np.int64) for at, (*_, h) in zip(places, rows)]
+            state = [np.zeros((8, len(at)), np.uint8) for at in places]
+            learned = [np.zeros((8, len(at)), np.uint8) for at in places]
+            sums = np.zeros((2, 256))
+            less = [bit_counts(w, h) for w, h in zip(wanted, held)]
+            for bit, (n, ones, _) in enumerate(bit_counts(every, number)):
+                all_states = states(n, ones)
+                for at, h, s, l, own_counts in zip(places, held, state, learned, less):
+                    s[bit] = all_states[at]
+                    own_n, own_ones, one = next(own_counts)
+                    some = np.flatnonzero(h)
+                    x = l[bit, some] = states(n[at[some]] - own_n[some], ones[at[some]] - own_ones[some])
+                    sums[0] += np.bincount(x, weights=h[some], minlength=256)
+                    sums[1] += np.bincount(x, weights=h[some] * one[some], minlength=256)
+            events = [(packed(w), packed(h)) if kind == _LONG else (None, None) for w, h in zip(wanted, held)]
+            out += [(block, bucket, kind, squeezed(s.tobytes()), squeezed(l.tobytes()), *e, None) for s, l, e, (block, bucket, _) in zip(state, learned, events, rows)]
+            out.append((None, rows[0][1], kind, *[None] * 4, sums.tobytes()))
+        types = (*[pa.int32()] * 3, *[pa.binary()] * 5)
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["block", "bucket", "kind", "states", "learned", "keys", "held", "sums"])
+
+    asks = docs.groupBy("block").applyInArrow(ask, ASKED).select("bucket", "block", "kind", "keys", "held")
+    counts = table.select("bucket", "kind", "keys", "met")
+    return asks.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, ANSWERS)
+
+
+def _got(answers, column: str) -> dict[int, np.ndarray]:
+    """Of each kind what was answered, bucket by bucket."""
     import pyarrow as pa
 
     kinds, bucket = np.asarray(answers["kind"]), np.asarray(answers["bucket"])
     got = {}
-    for kind in range(_TOKEN + 1):
+    for kind in np.unique(kinds).tolist():
         own = np.flatnonzero(kinds == kind)
-        raw = answers["states"].take(pa.array(own[np.argsort(bucket[own])])).to_pylist()
-        parts = [unpacked(x).astype(np.int64) if kind == _TOKEN else np.frombuffer(x, np.uint8).reshape(8, -1).T for x in raw]
+        raw = answers[column].take(pa.array(own[np.argsort(bucket[own])])).to_pylist()
+        parts = [unpacked(x).astype(np.int64) if kind == _TOKEN else np.frombuffer(loosened(x), np.uint8).reshape(8, -1).T for x in raw]
         got[kind] = np.concatenate(parts)
-    return Known(Events(texts), got, buckets)
+    return got
+
+
+def _learned(answers, buckets: int) -> tuple[Known, np.ndarray]:
+    """A block's events by the counts without it, and how often each occurs in its training documents."""
+    import pyarrow as pa
+
+    longest = answers.filter(pa.array(np.asarray(answers["kind"]) == _LONG))
+    keys, times = (np.concatenate([unpacked(x) for x in longest[c].to_pylist()]) for c in ("keys", "held"))
+    order = np.argsort(keys)
+    return Known(Asked(keys[order]), _got(answers, "learned"), buckets), times[order].astype(np.int64)
 
 
 def _averaged(parts: DataFrame, groups: int, weight: str, columns: list[str]) -> dict[str, np.ndarray] | None:
@@ -473,14 +527,12 @@ def _averaged(parts: DataFrame, groups: int, weight: str, columns: list[str]) ->
     return {"weight": total} | {c: sum(np.frombuffer(r[c], np.float64) for r in rows) for c in columns}
 
 
-def fit_mixer(sample: DataFrame, table: DataFrame, buckets: int, blocks: int) -> Mixer:
-    """Learned from ``sample`` (block, doc_id, text), which is counted as held in ``table``."""
-    spark = sample.sparkSession
+def fit_mixer(answers: DataFrame, buckets: int, blocks: int) -> Mixer:
+    """Learned from all training documents; ``answers``: see ``answered``."""
     mixer = Mixer()
-    root = max(1, round(buckets**0.5))
     sums = np.zeros((KINDS, 2, 256))
     for kind in range(KINDS):
-        own = _averaged(table.filter(F.col("kind") == kind).select(F.col("bucket").alias("part"), F.lit(1).cast("long").alias("one"), "sums"), root, "one", ["sums"])
+        own = _averaged(answers.filter(F.col("block").isNull() & (F.col("kind") == kind)).select(F.col("bucket").alias("part"), F.lit(1).cast("long").alias("one"), "sums"), max(1, round(buckets**0.5)), "one", ["sums"])
         if own:
             sums[kind] = own["sums"].reshape(2, 256)
     if not sums.any():
@@ -488,25 +540,22 @@ def fit_mixer(sample: DataFrame, table: DataFrame, buckets: int, blocks: int) ->
     mixer.learn_states(sums.transpose(1, 0, 2))
     logit = mixer.logit
 
-    def fit(group, answers):
+    def fit(answers):
         import pyarrow as pa
 
         own = Mixer()
         own.logit = logit
-        order = sorted(zip(group["doc_id"].to_pylist(), group["text"].to_pylist(), range(group.num_rows)), key=lambda r: (r[0], r[1] or ""))
-        known = _known(group["text"].take(pa.array([i for *_, i in order])), answers, buckets)
-        size = 0
-        for keys, inverse, *_ in known.met.places:
-            at = np.searchsorted(known.met.keys, keys)[inverse]
-            for k in range(0, len(at), BATCH):
-                own.learn(known.states_of(at[k : k + BATCH]), known.byte[at[k : k + BATCH]])
-            size += len(at)
-        return pa.table([group["block"].slice(0, 1).combine_chunks(), pa.array([size], pa.int64()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (own.weights, own.map))], names=["part", "size", "weights", "map"])
-
-    answers = answered(sample, table, buckets, True)
-    parts = sample.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fit, "part int, size long, weights binary, map binary")
+        known, times = _learned(answers, buckets)
+        some = np.random.default_rng(5).permutation(np.flatnonzero(times))
+        for k in range(0, len(some), BATCH):
+            batch = some[k : k + BATCH]
+            own.learn(known.states_of(batch), known.byte[batch], times[batch])
+        return pa.table([answers["block"].slice(0, 1).combine_chunks(), pa.array([int(times.sum())], pa.int64()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (own.weights, own.map))], names=["part", "size", "weights", "map"])
+
+    off = answers.filter(F.col("block").isNotNull() & (F.col("kind") != _TOKEN)).select("block", "bucket", "kind", "learned", "keys", "held")
+    parts = off.groupBy("block").applyInArrow(fit, "part int, size long, weights binary, map binary")
     got = _averaged(parts, max(1, round(blocks**0.5)), "size", ["weights", "map"])
-    if got:
+    if got and got["weight"]:
         mixer.weights = (got["weights"] / got["weight"]).astype(np.float32).reshape(mixer.weights.shape)
         mixer.map = (got["map"] / got["weight"]).astype(np.float32)
     return mixer
@@ -515,36 +564,38 @@ def fit_mixer(sample: DataFrame, table: DataFrame, buckets: int, blocks: int) ->
 SCORES = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def score_all(docs: DataFrame, table: DataFrame, mixer: Mixer, buckets: int) -> DataFrame:
+def score_all(docs: DataFrame, answers: DataFrame, mixer: Mixer, buckets: int) -> DataFrame:
     """Scores of all documents (columns doc_id, text, block); base is the sum of log10(count + 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(mixer)  # 60 kB whatever the input
 
     def price(group, answers):
         import pyarrow as pa
 
-        score, tokens, seen, base = _known(group["text"], answers, buckets).score(shared.value)
+        score, tokens, seen, base = Known(Events(group["text"]), _got(answers, "states"), buckets).score(shared.value)
         return pa.table([group["doc_id"].combine_chunks(), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
-    answers = answered(docs, table, buckets, False)
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(price, SCORES)
+    by_all = answers.filter("block is not null").select("block", "bucket", "kind", "states")
+    return docs.groupBy("block").cogroup(by_all.groupBy("block")).applyInArrow(price, SCORES)
 
 
-def scores(docs: DataFrame, folds: int = 5, held: int = 1, mixer_share: int = MIXER_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 5, held: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    rest = fold(F.col("doc_id"), folds)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("train", F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(False)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    train = F.coalesce(rest != held, F.lit(False))
-    for_mixer = train & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(mixer_share)) == 0)
-    table = materialise(count_corpus(docs.filter(train).withColumn("for_mixer", for_mixer), blocks), "counts")
+    buckets = max(1, -(-size // block_bytes))
+    blocks = max(buckets, FEWEST_BLOCKS)
+    table = materialise(count_corpus(docs.filter("train").withColumn("for_mixer", F.lit(False)), buckets), "counts")
+    release(docs.sparkSession)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    parts = max(1, blocks // mixer_share)
-    sample = docs.filter(for_mixer).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    mixer = fit_mixer(sample, table, blocks, parts)
-    got = score_all(dealt, table, mixer, blocks)
+    answers = materialise(answered(dealt, table, buckets), "answers")
     words = table.filter(F.col("kind") == _TOKEN).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
     tokens, distinct = words["total"] or 0, words["n"] or 0
+    discard(table)
+    release(docs.sparkSession)
+    mixer = fit_mixer(answers, buckets, blocks)
+    release(docs.sparkSession)
+    got = score_all(dealt, answers, mixer, buckets)
     floor = float(np.log10(tokens + 0.5 * (distinct + 1)))
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")

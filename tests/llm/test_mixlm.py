@@ -159,3 +159,41 @@ def test_the_table_counts_all_training_documents_and_those_of_the_mixer(spark, m
             for k, n in collections.Counter(keys.tolist()).items():
                 want.setdefault((kind, k), [0, 0])[part] = n
     assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_the_mixer_learns_from_every_training_document(spark, monkeypatch):
+    rows, sizes, averaged = corpus(12, 90) + AWKWARD, [], mixlm._averaged
+
+    def recording(parts, groups, weight, columns):
+        got = averaged(parts, groups, weight, columns)
+        sizes.extend([got["weight"]] if weight == "size" else [])
+        return got
+
+    monkeypatch.setattr(mixlm, "_averaged", recording)
+    mixlm.scores(table(spark, rows))
+    assert sizes == [sum(len((t or "").encode()) + 1 for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1)]
+
+
+def test_a_block_is_learned_by_the_counts_of_the_others(spark):
+    from pyspark.sql import functions as F
+
+    texts = [*LEARNED, *TEXTS, b"the information desk"]
+    docs = spark.createDataFrame([(k, k % 3, k % 4 > 0, t.decode()) for k, t in enumerate(texts)], "doc_id long, block int, train boolean, text string")
+    counted = mixlm.count_corpus(docs.filter("train").withColumn("for_mixer", F.lit(False)), 2)
+    answers = mixlm.answered(docs, counted, 2).toArrow()
+    for block in range(3):
+        own = [t for k, t in enumerate(texts) if k % 3 == block and k % 4]
+        count = slow_counts([t for k, t in enumerate(texts) if k % 3 != block and k % 4])
+        asked = (np.asarray(answers["block"].fill_null(-1)) == block) & (np.asarray(answers["kind"]) != mixlm._TOKEN)
+        known, times = mixlm._learned(answers.filter(asked), 2)
+        assert times.sum() == sum(len(t) + 1 for t in own)
+        want = {}
+        for t in own:
+            for at, byte in enumerate([*t, 0]):
+                met = [[(count[kind, c, before, 0], count[kind, c, before, 1]) for before in ((1 << k) | byte >> (8 - k) for k in range(8))] for kind, c in enumerate(contexts(t, at))]
+                want[int.from_bytes(contexts(t, at)[-1] + bytes([byte]), "big")] = [[int(mixlm.states(np.array([z + o]), np.array([o]))[0]) for z, o in kind] for kind in met]
+        some = np.flatnonzero(times)
+        state = known.states_of(some)
+        assert {int(key): [s[j].tolist() for s in state] for j, key in enumerate(known.met.keys[some])} == want
+    sums = answers.filter(np.asarray(answers["kind"]) == 0)["sums"].drop_null().to_pylist()
+    assert sum(np.frombuffer(x).reshape(2, 256)[0].sum() for x in sums) == 8 * sum(len(t) + 1 for k, t in enumerate(texts) if k % 4)
